@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def literal_vector(values) -> Column:
     return F.array(*[F.lit(float(x)) for x in values])
@@ -41,6 +43,7 @@ def lane_dot(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 def dot_f32_lanes(vector: Column, query) -> Column:
     """Single-precision score for parity with a SIMD kernel; Arrow batches, not row by row."""
+    ship(SparkSession.getActiveSession())
     q = np.asarray(query, np.float32)
 
     @F.pandas_udf("float")
