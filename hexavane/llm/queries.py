@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, near
+from . import contamination, mixing, near, scratch, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,35 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def tokenizer_definition(path: str | None = None) -> str:
+    """JSON text of a tokenizer file; by default the public 49k word BPE."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.new_path(spark, "tokens")
+    tokens.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_definition(), end=2)
+    return tokens.read_tokens(spark, path).drop("ids")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = scratch.materialize(mixing.sizes(table(spark, sf_dir, "documents")), "sizes")
+    return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACED = "regexp_extract_all(" + _LOWER + r", '[^\x20\x09-\x0D]+')"
@@ -56,7 +81,7 @@ FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN label USING (doc_id)
 
 
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op3_near_dedup": op3_near_dedup}
+    return {"op1_decontamination": op1_decontamination, "op2_token_output": op2_token_output, "op3_near_dedup": op3_near_dedup, "op5_toxicity": op5_toxicity, "op9_source_mixing": op9_source_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
