@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, mixing, near, scratch, tokens, toxicity
+from . import contamination, counts, extract, licences, lines, mixing, near, neighbours, scratch, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,15 +38,39 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(table(spark, sf_dir, "documents"), counts.vocabulary())
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, language, id."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string"))
+    found = licences.scan(docs.select(path.alias("path"), "text"))
+    return found.withColumn("doc_id", F.regexp_extract("path", r"[^/]*$", 0).cast("bigint"))
+
+
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = scratch.materialize(mixing.sizes(table(spark, sf_dir, "documents")), "sizes")
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_recurring(table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACED = "regexp_extract_all(" + _LOWER + r", '[^\x20\x09-\x0D]+')"
@@ -81,7 +105,8 @@ FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN label USING (doc_id)
 
 
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op2_token_output": op2_token_output, "op3_near_dedup": op3_near_dedup, "op5_toxicity": op5_toxicity, "op9_source_mixing": op9_source_mixing}
+    all_of = [op1_decontamination, op2_token_output, op3_near_dedup, op4_token_counts, op5_toxicity, op6_html_extraction, op7_licence_scan, op8_nearest_vectors, op9_source_mixing, op10_line_dedup]
+    return {f.__name__: f for f in all_of}
 
 
 def oracle_sql() -> dict[str, str]:
