@@ -23,59 +23,125 @@ from .packing import bits_for, pack, unpack
 from .words import slices
 
 BLOCK = "shard string, block int, shard_start bigint, n_tokens bigint, first_doc bigint, last_doc bigint, first_tie bigint, doc_ids array<bigint>, starts array<int>, data binary"
-PIECE = 2 << 20
+PIECE = 8 << 20
+
+
+#: Letters that are one pre-token together, and ASCII marks that are one after them; the apostrophe, which has rules of its own, is neither.
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_MARKS = r"[!-&(-/:-@\[-`{-~]*"
+_WORD_END = "</w>"
 
 
 class ChunkEncoder:
     """Encodes texts chunk by chunk between ASCII white space, each distinct chunk once.
 
     Exact for a tokenizer that drops white space before it splits words: no rule of it then looks across a chunk's edge.
-    ``most`` bounds the chunks remembered between calls.
+    For one that also lowers case, splits letters from marks and closes words by a suffix, a chunk of letters and marks is
+    its word and its marks, and new words are encoded many at a time, told apart by that suffix. ``most`` bounds what is
+    remembered between calls.
     """
 
-    def __init__(self, definition: str, most: int = 400_000):
+    def __init__(self, definition: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_str(definition), most
+        d = json.loads(definition)
+        self.joins = d["model"].get("end_of_word_suffix") == _WORD_END and '"Lowercase"' in definition and r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in definition
+        self.ends = np.zeros(largest_id(definition) + 1, bool)
+        self.ends[[i for w, i in d["model"]["vocab"].items() if w.endswith(_WORD_END)]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.begin, self.size, self.used = [], [], 0
-
-    def _learn(self, chunks: list[str]) -> None:
-        for c, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            ids = e.ids
-            n = len(ids)
-            if self.used + n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), n), np.uint32)])
-            self.flat[self.used : self.used + n] = ids
-            self.known[c] = len(self.size)
-            self.begin.append(self.used)
-            self.size.append(n)
-            self.used += n
+        self.known: dict[str, int] = {"": 0}
+        self.flat, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _one_by_one(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, names: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        at = len(self.size)
+        self.known.update(zip(names, range(at, at + len(names)), strict=True))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _learn(self, parts: list[str]) -> None:
+        each = self._one_by_one(parts)
+        self._keep(parts, np.concatenate([np.zeros(0, np.uint32), *each]), np.fromiter(map(len, each), np.int64, len(each)))
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of letters only: joined by spaces, and cut behind each id that closes a word."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), 4000):
+            some = words[at : at + 4000]
+            got = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            size = np.diff(np.flatnonzero(self.ends[got]), prepend=-1)
+            if len(size) != len(some):
+                each = self._one_by_one(some)
+                got, size = np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+            ids.append(got)
+            sizes.append(size)
+        self._keep(words, np.concatenate(ids), np.concatenate(sizes))
+
+    def _codes(self, parts: pa.Array) -> np.ndarray:
+        """Numbers of the parts, learnt where they are new."""
+        coded = parts.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        fresh = [n for n in names if n not in self.known]
+        if self.joins and fresh:
+            letters = pc.match_substring_regex(pa.array(fresh), f"^{_LETTERS}$").to_pylist()
+            self._learn_words([n for n, yes in zip(fresh, letters, strict=True) if yes])
+            fresh = [n for n, yes in zip(fresh, letters, strict=True) if not yes]
+        if fresh:
+            self._learn(fresh)
+        own = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        return own[coded.indices.to_numpy(zero_copy_only=False)] if len(names) else np.zeros(0, np.int64)
+
+    def _pool(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks one after the other, and how many each has."""
+        if len(self.known) > self.most:
+            self._forget()
+        if self.joins and len(chunks):
+            plain = pc.and_not(pc.match_substring_regex(chunks, f"^{_LETTERS}{_MARKS}$"), pc.match_substring(chunks, "<|"))
+            word = pc.if_else(plain, pc.replace_substring_regex(pc.utf8_lower(chunks), f"{_MARKS}$", ""), chunks)
+            mark = pc.if_else(plain, pc.replace_substring_regex(chunks, f"^{_LETTERS}", ""), "")
+            parts = np.stack([self._codes(word), self._codes(mark)], 1)
+        else:
+            parts = self._codes(chunks)[:, None]
+        size = self.size[parts]
+        return self._gather(parts.ravel(), size.ravel()), size.sum(1)
+
+    def _gather(self, parts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return self.flat[spread(self.begin[parts], size)]
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, with ``end`` after each text, and the n + 1 offsets of the texts."""
         chunks = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = chunks.flatten().dictionary_encode()
-        if len(self.known) > self.most:
-            self._forget()
-        distinct = words.dictionary.to_pylist()
-        if fresh := [c for c in distinct if c not in self.known]:
-            self._learn(fresh)
-        own = np.fromiter((self.known[c] for c in distinct), np.int64, len(distinct))
-        begin, size = np.asarray(self.begin, np.int64)[own], np.asarray(self.size, np.int64)[own]
+        pool, size = self._pool(words.dictionary)
         code = words.indices.to_numpy(zero_copy_only=False)
         lengths = size[code]
         edges = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        place = total[edges]
-        ids = self.flat[np.repeat(begin[code] - total[:-1], lengths) + np.arange(total[-1])]
-        with_end = np.insert(ids, place[1:], end)
-        return with_end, place + np.arange(len(place))
+        place = np.concatenate([[0], np.cumsum(lengths)])[edges]
+        ids = pool[spread((np.cumsum(size) - size)[code], lengths)]
+        return np.insert(ids, place[1:], end), place + np.arange(len(place))
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... size[0] of them, then the same for the next."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder_of(definition: str) -> ChunkEncoder:
+    """The worker's encoder, kept from task to task."""
+    if definition not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[definition] = ChunkEncoder(definition)
+    return _ENCODERS[definition]
 
 
 def largest_id(definition: str) -> int:
@@ -96,7 +162,7 @@ def write_tokens(docs: DataFrame, path: str, definition: str, *, end: int = 2, b
     bits = bits_for(max(largest_id(definition), end))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(sent.value)
+        encoder = encoder_of(sent.value)
         shard, block, done = uuid.uuid4().hex, 0, 0
         docs_held, ids_held, ends_held, ties, held = [], [], [], [], 0
 
