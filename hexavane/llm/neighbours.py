@@ -2,10 +2,12 @@
 
 Inner products become distances by one more coordinate: stored vectors are divided by the largest norm and completed to
 length one, queries are normalised. A segment of the index holds its vectors and, for each of ``projections`` random
-directions, the vectors in the order of their projections. A query opens a window around its own projection in every
+directions, the sorted projections and each vector's rank among them. A query opens a window around its own projection in every
 array; a vector that lies in at least ``threshold`` of the windows is a candidate. Windows widen by ``widen`` (the arrays
-stay as they are: virtual rehashing) until a segment has ``share`` of its vectors, and k at least, as candidates. All of
-them are verified on the original vectors in double precision.
+stay as they are: virtual rehashing) until a segment has ``share`` of its vectors, and
+``least`` * k at least, as candidates. All of
+them are verified on the original vectors: one matrix product for a block of queries ranks them, and the best and their
+ties are added up again in double precision in a fixed order.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def directions(dim: int, count: int, seed: int) -> np.ndarray:
 
 
 def build_index(vectors: DataFrame, dim: int, largest: float, rows: int, *, projections: int, seed: int) -> DataFrame:
-    """segment, ids, vectors, order, values; ``vectors`` has vec_id and v (doubles of length ``dim``)."""
+    """segment, ids, vectors, ranks, values; ``vectors`` has vec_id and v (doubles of length ``dim``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = directions(dim, projections, seed)
@@ -50,11 +52,13 @@ def build_index(vectors: DataFrame, dim: int, largest: float, rows: int, *, proj
             p = np.concatenate([scaled, rest], 1) @ a
             order = np.argsort(p, axis=0, kind="stable").T.astype(np.int32)
             values = np.take_along_axis(p.T, order, 1)
-            row = [uuid.uuid4().hex, np.concatenate(ids).tobytes(), x.tobytes(), order.tobytes(), values.tobytes()]
+            ranks = np.empty_like(order, np.uint16)
+            np.put_along_axis(ranks, order, np.arange(len(x), dtype=np.uint16)[None, :], 1)
+            row = [uuid.uuid4().hex, np.concatenate(ids).tobytes(), x.tobytes(), ranks.tobytes(), values.tobytes()]
             ids.clear()
             parts.clear()
             held = 0
-            return pa.record_batch([pa.array([row[0]])] + [pa.array([r], pa.binary()) for r in row[1:]], ["segment", "ids", "vectors", "order", "values"])
+            return pa.record_batch([pa.array([row[0]])] + [pa.array([r], pa.binary()) for r in row[1:]], ["segment", "ids", "vectors", "ranks", "values"])
 
         for batch in batches:
             at = 0
@@ -70,32 +74,34 @@ def build_index(vectors: DataFrame, dim: int, largest: float, rows: int, *, proj
             yield flush()
 
     dealt = vectors.repartition(max(1, -(-rows // SEGMENT_ROWS)))
-    return dealt.mapInArrow(run, "segment string, ids binary, vectors binary, order binary, values binary")
-
-
-def candidates(order: np.ndarray, values: np.ndarray, at: np.ndarray, wanted: int, *, threshold: int, width: float, widen: float) -> np.ndarray:
-    """Local numbers of the vectors that collide with a query at ``threshold`` projections, widening until ``wanted`` do."""
-    m, n = order.shape
-    if wanted >= n:
-        return np.arange(n)
-    count = np.zeros(n, np.int64)
-    low = np.array([np.searchsorted(values[j], at[j]) for j in range(m)])
-    high = low.copy()
-    while True:
-        grown = []
-        for j in range(m):
-            a, b = np.searchsorted(values[j], [at[j] - width, at[j] + width])
-            if a < low[j]:
-                grown.append(order[j, a : low[j]])
-            if b > high[j]:
-                grown.append(order[j, high[j] : b])
-            low[j], high[j] = min(a, low[j]), max(b, high[j])
-        if grown:
-            count += np.bincount(np.concatenate(grown), minlength=n)
-        found = np.flatnonzero(count >= threshold)
-        if len(found) >= wanted or (high - low).min() == n:
-            return found
+    return dealt.mapInArrow(run, "segment string, ids binary, vectors binary, ranks binary, values binary")
+
+
+def collisions(ranks: np.ndarray, values: np.ndarray, at: np.ndarray, wanted: int, *, threshold: int, width: float, widen: float) -> np.ndarray:
+    """For each query (row of ``at``) a mask of the vectors that collide with it at ``threshold`` projections.
+
+    A window is a range of ranks in a sorted array, found by binary search for all queries at once. Queries with fewer than
+    ``wanted`` candidates widen their windows and count again.
+    """
+    m, n = ranks.shape
+    out = np.ones((len(at), n), bool)
+    open_ = np.arange(len(at)) if wanted < n else np.zeros(0, np.int64)
+    while len(open_):
+        low = np.stack([np.searchsorted(values[j], at[open_, j] - width, "left") for j in range(m)])
+        high = np.stack([np.searchsorted(values[j], at[open_, j] + width, "right") for j in range(m)])
+        short = []
+        for some in range(0, len(open_), 32):
+            rows = open_[some : some + 32]
+            count = np.zeros((len(rows), n), np.uint8)
+            begin, size = low[:, some : some + 32].astype(np.uint16), (high - low)[:, some : some + 32].astype(np.uint16)
+            for j in range(m):
+                count += (ranks[j] - begin[j][:, None]) < size[j][:, None]
+            out[rows] = found = count >= threshold
+            full = (high - low)[:, some : some + 32].min(0) == n
+            short.append(rows[(found.sum(1) < wanted) & ~full])
+        open_ = np.concatenate(short)
         width *= widen
+    return out
 
 
 def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -106,7 +112,7 @@ def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return total
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, projections: int = 64, share: float = 0.35, threshold: float = 0.6, width: float = 0.75, widen: float = 1.12, seed: int = 23, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, projections: int = 48, share: float = 0.4, least: int = 30, threshold: float = 0.6, width: float = 0.85, widen: float = 1.15, seed: int = 23, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row that ``is_query`` selects its k nearest other rows found, nearest first by
     inner product, ties to the smaller vec_id; all candidates if there are fewer.
 
@@ -139,7 +145,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, projections: i
     asked = fit.where("is_query").select("vec_id", "v")
     blocks = asked.repartition(max(1, -(-rows // (20 * QUERY_ROWS)))).mapInArrow(bundle, "query_ids binary, queries binary")
     dealt = blocks.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
-    work = dealt.join(segments.join(numbers, "segment"), "number").select("query_ids", "queries", "ids", "vectors", "order", "values")
+    work = dealt.join(segments.join(numbers, "segment"), "number").select("query_ids", "queries", "ids", "vectors", "ranks", "values")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = directions(dim, projections, seed)
@@ -149,18 +155,19 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, projections: i
                 raw = [batch.column(c)[i].as_buffer() for c in range(6)]
                 query_ids, q = np.frombuffer(raw[0], np.int64), np.frombuffer(raw[1]).reshape(-1, dim)
                 ids, x = np.frombuffer(raw[2], np.int64), np.frombuffer(raw[3]).reshape(-1, dim)
-                order = np.frombuffer(raw[4], np.int32).reshape(projections, -1)
+                ranks = np.frombuffer(raw[4], np.uint16).reshape(projections, -1)
                 values = np.frombuffer(raw[5]).reshape(projections, -1)
                 at = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ a[:dim]
-                wanted = k + 1 + int(share * len(ids))
+                near = collisions(ranks, values, at, max(least * k, k + 1 + int(share * len(ids))), threshold=need, width=width, widen=widen)
+                near &= ids[None, :] != query_ids[:, None]
+                rough = q @ x.T
+                rough[~near] = -np.inf
+                room = min(k, len(ids))
+                edge = -np.partition(-rough, room - 1, axis=1)[:, room - 1]
+                slack = 1e-9 * np.maximum(1.0, np.abs(np.where(np.isfinite(edge), edge, 0.0)))
                 out: list[list[np.ndarray]] = [[], [], []]
                 for j in range(len(q)):
-                    found = candidates(order, values, at[j], wanted, threshold=need, width=width, widen=widen)
-                    found = found[ids[found] != query_ids[j]]
-                    rough = x[found] @ q[j]
-                    if len(found) > k:
-                        edge = np.partition(rough, len(rough) - k)[len(rough) - k]
-                        found = found[rough >= edge - 1e-9 * max(1.0, abs(edge))]
+                    found = np.flatnonzero((rough[j] >= edge[j] - slack[j]) & near[j])
                     exact = inner(x[found], q[j])
                     best = np.lexsort((ids[found], -exact))[:k]
                     out[0].append(np.full(len(best), query_ids[j]))
