@@ -25,39 +25,41 @@ from .scratch import materialize
 from .words import SPACED, _buffers, _edges, mix, slices, words_of
 
 #: Stands for a variable field; no token hashes to it.
-ANY = np.uint32(0)
+ANY = np.uint16(0)
 PIECE = 2 << 20
 
 
-def parse_lines(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the lines of all texts: the text's number, place in it, leaf, first token offsets, tokens (masked, 32 bits)."""
+def parse_lines(texts: pa.Array, depth: int) -> tuple[np.ndarray, ...]:
+    """For the lines of all texts: the text's number, place in it, leaf, first token offsets, tokens (masked, hashed to 16 bits) and their full hashes."""
     split = pc.split_pattern(pc.fill_null(texts, ""), "\n")
     flat = split.flatten()
     counts = np.diff(split.offsets.to_numpy())
     words = words_of(flat, SPACED)
-    tokens = (words.hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    full = words.hashes.copy()
+    tokens = (words.hashes >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
     if len(tokens):
         raw, at = _buffers(flat)
         inside, starts, ends = _edges(raw, at, SPACED)
         digits = np.concatenate([[0], np.cumsum((raw >= 48) & (raw <= 57))])
-        tokens[digits[ends] > digits[starts]] = ANY
+        variable = digits[ends] > digits[starts]
+        tokens[variable], full[variable] = ANY, 0
     first = words.first
     sizes = np.diff(first)
     leaf = mix(sizes.astype(np.uint64) + np.uint64(depth))
     for k in range(depth):
         has = sizes > k
-        leaf[has] = mix(leaf[has] * np.uint64(3) + tokens[first[:-1][has] + k])
+        leaf[has] = mix(leaf[has] * np.uint64(3) + full[first[:-1][has] + k])
     owner = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return owner, place, leaf.view(np.int64), first, tokens
+    return owner, place, leaf.view(np.int64), first, tokens, full
 
 
-def line_hashes(first: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+def line_hashes(first: np.ndarray, full: np.ndarray) -> np.ndarray:
     """One hash for each line's masked tokens in order."""
     sizes = np.diff(first)
     n = np.repeat(sizes, sizes)
-    place = np.arange(len(tokens)) - np.repeat(first[:-1], sizes)
-    terms = mix(tokens.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(32)) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    place = np.arange(len(full)) - np.repeat(first[:-1], sizes)
+    terms = mix(full + (place.astype(np.uint64) << np.uint64(32)) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
     return mix(total[first[1:]] - total[first[:-1]] + sizes.astype(np.uint64)).view(np.int64)
 
@@ -66,7 +68,7 @@ class Leaf:
     """Templates of one leaf, all of one length."""
 
     def __init__(self, length: int):
-        self.rows = np.zeros((8, length), np.uint32)
+        self.rows = np.zeros((8, length), np.uint16)
         self.names: list[int] = []
 
     def place(self, line: np.ndarray, name: int, similar: float) -> int:
@@ -98,9 +100,9 @@ def _cluster(lines: DataFrame, keys: list[str], similar: float) -> DataFrame:
             for i, (line, data) in enumerate(zip(lines_, raw, strict=True)):
                 key = tuple(n[i] for n in names)
                 if key != now:
-                    now, leaf, last = key, Leaf(len(data) // 4), None
+                    now, leaf, last = key, Leaf(len(data) // 2), None
                 if line != last:
-                    joined = leaf.place(np.frombuffer(data, np.uint32), line, similar) if len(data) // 4 == leaf.rows.shape[1] else line
+                    joined = leaf.place(np.frombuffer(data, np.uint16), line, similar) if len(data) // 2 == leaf.rows.shape[1] else line
                     last = line
                     out_line.append(line)
                     out_template.append(joined)
@@ -109,21 +111,51 @@ def _cluster(lines: DataFrame, keys: list[str], similar: float) -> DataFrame:
     return lines.repartition(*keys).sortWithinPartitions(*keys, "line").mapInArrow(run, "line bigint, template bigint")
 
 
+BITMAP_BITS = 25
+
+
+def bitmap(leaves: DataFrame) -> np.ndarray:
+    """A fixed 4 MB bit for bit: set where a leaf's hash falls. Eight parts are made on executors and joined here. It only
+    spares work: a leaf it lists by chance is taken out by the join that follows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << BITMAP_BITS, bool)
+        for batch in batches:
+            bits[slot(batch.column(0).to_numpy())] = True
+        yield pa.record_batch([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    out = np.zeros(1 << BITMAP_BITS - 3, np.uint8)
+    for r in leaves.select("leaf").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def slot(leaf: np.ndarray) -> np.ndarray:
+    return (leaf.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+
+
+def listed(bits: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    at = slot(leaf)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+
 def templates(occurrences: DataFrame, docs: DataFrame, *, depth: int, similar: float, min_docs: int, leaf_lines: int) -> DataFrame:
     """line, template for lines that generalise; others are their own template."""
     distinct = occurrences.select("leaf", "line").distinct().groupBy("leaf").agg(F.count("*").alias("lines"))
     spread = occurrences.groupBy("leaf").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a != b" if min_docs > 1 else "true").select("leaf")
     busy = materialize(distinct.where("lines > 1").join(spread, "leaf", "left_semi").select("leaf", F.ceil(F.col("lines") / leaf_lines).cast("int").alias("parts")), "leaves")
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(busy))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text", PIECE):
-            _, _, leaf, first, tokens = parse_lines(piece.column(0), depth)
-            lines = line_hashes(first, tokens)
-            _, at = np.unique(lines, return_index=True)
-            at = at[np.diff(first)[at] > depth]
+            _, _, leaf, first, tokens, full = parse_lines(piece.column(0), depth)
+            may = np.flatnonzero((np.diff(first) > depth) & listed(sent.value, leaf))
+            lines = line_hashes(first, full)
+            _, at = np.unique(lines[may], return_index=True)
+            at = may[at]
             yield pa.record_batch([pa.array(leaf[at], pa.int64()), pa.array(lines[at], pa.int64()), pa.array([tokens[first[i] : first[i + 1]].tobytes() for i in at], pa.binary())], ["leaf", "line", "tokens"])
 
-    parsed = docs.select("text").mapInArrow(run, "leaf bigint, line bigint, tokens binary").join(busy, "leaf")
+    parsed = docs.select("text").mapInArrow(run, "leaf bigint, line bigint, tokens binary").join(busy.hint("merge"), "leaf")
     dealt = materialize(parsed.withColumn("part", F.pmod("line", "parts").cast("int")), "lines")
     local = materialize(_cluster(dealt, ["leaf", "part"], similar), "local")
     split = dealt.where("parts > 1")
@@ -144,10 +176,10 @@ def drop_recurring(docs: DataFrame, *, depth: int = 3, similar: float = 0.7, min
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text", PIECE):
-            owner, place, leaf, first, tokens = parse_lines(piece.column(1), depth)
+            owner, place, leaf, first, _, full = parse_lines(piece.column(1), depth)
             some = np.diff(first) > 0
             doc = piece.column(0).to_numpy()[owner[some]]
-            yield pa.record_batch([pa.array(x) for x in (doc, place[some].astype(np.int32), leaf[some], line_hashes(first, tokens)[some])], ["doc", "place", "leaf", "line"])
+            yield pa.record_batch([pa.array(x) for x in (doc, place[some].astype(np.int32), leaf[some], line_hashes(first, full)[some])], ["doc", "place", "leaf", "line"])
 
     found = materialize(keyed.select("doc", "text").mapInArrow(run, "doc bigint, place int, leaf bigint, line bigint"), "occurrences")
     by_line = materialize(templates(found, keyed, depth=depth, similar=similar, min_docs=min_docs, leaf_lines=leaf_lines), "templates")
@@ -155,7 +187,7 @@ def drop_recurring(docs: DataFrame, *, depth: int = 3, similar: float = 0.7, min
     named = materialize(named, "named")
     recurring = named.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
     gone = named.join(recurring, "template", "left_semi").groupBy("doc").agg(F.collect_set("place").alias("gone"))
-    rows = keyed.join(gone, "doc", "left")
+    rows = keyed.join(gone.hint("merge"), "doc", "left")  # grows with the corpus: never broadcast
     parts = F.split("text", "\n", -1)
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("bigint")
