@@ -74,11 +74,14 @@ class Matcher:
             short = [i for i, r in left.items() if math.sqrt(sum(x * x for x in r.values())) >= self.threshold]
             if not short:
                 return sorted(chosen)
-            heaviest = max(left[short[0]], key=lambda w: (left[short[0]][w], w))
+            heaviest = max(left[short[0]], key=lambda w: (len(w), left[short[0]][w], w))  # long words are rare in other texts
             chosen.append(heaviest)
             for r in left.values():
                 r.pop(heaviest, None)
 
+    def pattern(self) -> str:
+        return r"(?<![a-z0-9])(?:" + "|".join(re.escape(a) for a in self.anchors) + r")(?![a-z0-9])"
+
     def best(self, text: str) -> tuple[str, float] | None:
         """Name and cosine of the nearest template, if it reaches the threshold; ties go to the earlier one."""
         bag = Counter(tokens(text))
@@ -101,8 +104,8 @@ def notices(files: DataFrame, matcher: Matcher, *, path: str, text: str) -> Data
     Only texts with an anchor token are sent to Python; that filter runs on the JVM and can lose nothing.
     """
     ship(files.sparkSession)
-    anchored = files.select(F.col(path).alias("path"), F.col(text).alias("text")).where(F.lower("text").rlike("|".join(re.escape(a) for a in matcher.anchors)))
-    has = re.compile("|".join(re.escape(a) for a in matcher.anchors))
+    anchored = files.select(F.col(path).alias("path"), F.col(text).alias("text")).where(F.lower("text").rlike(matcher.pattern()))
+    has = re.compile(matcher.pattern())
     kind = pa.struct([("licence", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
