@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .words import slices
+from .tokens import spread
+from .words import give_back, slices
 
 #: Trimmed from both ends of a word.
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~…“”„’‘«»¿¡–—"
@@ -31,7 +32,7 @@ PIECE = 2 << 20
 class Settings:
     """``sample`` bounds the labelled rows that train, half of it at most from one class."""
 
-    sample: int = 6000
+    sample: int = 4800
     buckets: int = 1 << 17
     dim: int = 4
     shortest: int = 3
@@ -68,25 +69,36 @@ def text_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 @dataclass
 class Bags:
-    """Sparse rows: for each text its buckets and their weights, which sum to 1."""
+    """Sparse rows, in few large arrays: for each text its buckets and their weights, which sum to 1."""
 
     bucket: list = field(default_factory=list)
     weight: list = field(default_factory=list)
+    size: list = field(default_factory=list)
 
     def add(self, texts: pa.Array, s: Settings) -> None:
         distinct, codes, at = text_words(texts)
         grams = [np.array(subwords(w, s), np.int32) for w in distinct.to_pylist()]
+        buckets, weights = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             own, counts = np.unique(codes[a:b], return_counts=True)
-            if len(own):
-                ids = np.concatenate([grams[i] for i in own])
-                w = np.concatenate([np.full(len(grams[i]), c / len(grams[i])) for i, c in zip(own, counts, strict=True)])
-                ids, where = np.unique(ids, return_inverse=True)
-                self.bucket.append(ids)
-                self.weight.append((np.bincount(where, w) / (b - a)).astype(np.float32))
-            else:
-                self.bucket.append(np.zeros(0, np.int32))
-                self.weight.append(np.zeros(0, np.float32))
+            if not len(own):
+                self.size.append(0)
+                continue
+            ids = np.concatenate([grams[i] for i in own])
+            w = np.concatenate([np.full(len(grams[i]), c / len(grams[i])) for i, c in zip(own, counts, strict=True)])
+            ids, where = np.unique(ids, return_inverse=True)
+            buckets.append(ids)
+            weights.append((np.bincount(where, w) / (b - a)).astype(np.float32))
+            self.size.append(len(ids))
+        self.bucket.append(np.concatenate(buckets))
+        self.weight.append(np.concatenate(weights))
+
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Everything in three arrays; nothing is kept here."""
+        out = np.concatenate(self.bucket), np.concatenate(self.weight), np.array(self.size, np.int64)
+        self.bucket.clear()
+        self.weight.clear()
+        return out
 
 
 @dataclass
@@ -116,11 +128,15 @@ def train(bags: Bags, labels: np.ndarray, s: Settings) -> Model:
         return Model(s, table * 0, layer, np.array([0, side if n else -4.0], np.float32))
     weight = np.where(labels == 1, n / ones, s.clean_weight * n / (n - ones)) / (1 + s.clean_weight)
     weight = weight.astype(np.float32)
-    seen = np.bincount(np.concatenate(bags.bucket), minlength=s.buckets)
-    usual = seen >= s.rare
+    bucket, share, size = bags.take()
+    usual = np.bincount(bucket, minlength=s.buckets) >= s.rare
     table[~usual] = 0
-    kept = [usual[b] for b in bags.bucket]
-    buckets, shares = [b[k] for b, k in zip(bags.bucket, kept, strict=True)], [w[k] for w, k in zip(bags.weight, kept, strict=True)]
+    kept = usual[bucket]
+    ends = np.cumsum(size)
+    before = np.concatenate([[0], np.cumsum(kept)])
+    size = before[ends] - before[ends - size]
+    bucket, share = bucket[kept], share[kept]
+    begin = np.cumsum(size) - size
     params = [table, layer, bias]
     first = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
@@ -130,9 +146,9 @@ def train(bags: Bags, labels: np.ndarray, s: Settings) -> Model:
         rate = s.rate * (1 - epoch / s.epochs)
         for at in range(0, n, s.batch):
             rows = order[at : at + s.batch]
-            ids = np.concatenate([buckets[i] for i in rows])
-            val = np.concatenate([shares[i] for i in rows]) * np.float32(s.scale)
-            who = np.repeat(np.arange(len(rows)), [len(buckets[i]) for i in rows])
+            at_ = spread(begin[rows], size[rows])
+            ids, val = bucket[at_], share[at_] * np.float32(s.scale)
+            who = np.repeat(np.arange(len(rows)), size[rows])
             hidden = np.stack([np.bincount(who, val * table[ids, k], len(rows)) for k in range(s.dim)], 1).astype(np.float32)
             logits = hidden @ layer + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
@@ -169,7 +185,9 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings, *, doc_id: str = "doc_i
     for batch in got.to_batches(max_chunksize=200):
         bags.add(batch.column(2), s)
         ys += batch.column(1).to_pylist()
-    return train(bags, np.array(ys, np.int64), s)
+    model = train(bags, np.array(ys, np.int64), s)
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
