@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .packing import bits_for, pack, unpack
-from .words import slices
+from .words import give_back, slices
 
 BLOCK = "shard string, block int, shard_start bigint, n_tokens bigint, first_doc bigint, last_doc bigint, first_tie bigint, doc_ids array<bigint>, starts array<int>, data binary"
-PIECE = 4 << 20
+PIECE = 2 << 20
 
 
 #: Letters that are one pre-token together, and ASCII marks that are one after them; the apostrophe, which has rules of its own, is neither.
@@ -46,10 +46,10 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_str(definition), most
-        d = json.loads(definition)
-        self.joins = d["model"].get("end_of_word_suffix") == _WORD_END and '"Lowercase"' in definition and r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in definition
-        self.ends = np.zeros(largest_id(definition) + 1, bool)
-        self.ends[[i for w, i in d["model"]["vocab"].items() if w.endswith(_WORD_END)]] = True
+        self.joins = f'"end_of_word_suffix":"{_WORD_END}"' in definition.replace('": "', '":"') and '"Lowercase"' in definition and r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in definition
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith(_WORD_END)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -133,17 +133,6 @@ def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
-def encoder_of(definition: str) -> ChunkEncoder:
-    """The worker's encoder, kept from task to task."""
-    if definition not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[definition] = ChunkEncoder(definition)
-    return _ENCODERS[definition]
-
-
 def largest_id(definition: str) -> int:
     """Largest id of a tokenizer file, its added tokens included."""
     d = json.loads(definition)
@@ -162,7 +151,7 @@ def write_tokens(docs: DataFrame, path: str, definition: str, *, end: int = 2, b
     bits = bits_for(max(largest_id(definition), end))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(sent.value)
+        encoder = ChunkEncoder(sent.value)
         shard, block, done = uuid.uuid4().hex, 0, 0
         docs_held, ids_held, ends_held, ties, held = [], [], [], [], 0
 
@@ -192,6 +181,8 @@ def write_tokens(docs: DataFrame, path: str, definition: str, *, end: int = 2, b
                     yield flush()
         if docs_held:
             yield flush()
+        del encoder
+        give_back()
 
     narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = narrow.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")

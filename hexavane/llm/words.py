@@ -7,6 +7,8 @@ made. Results that hang on equality of words are safe up to the collision rate o
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -127,6 +129,17 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> I
             to = max(at + 1, int(np.searchsorted(total, done + most_bytes, "right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on from task to task, and what one has used others may need."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def shingle_sets(words: Words, width: int) -> Iterator[np.ndarray]:
