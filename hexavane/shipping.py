@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SENT: set[str] = set()
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def _bytes(setting: str) -> int:
