@@ -23,7 +23,7 @@ from .packing import bits_for, pack, unpack
 from .words import slices
 
 BLOCK = "shard string, block int, shard_start bigint, n_tokens bigint, first_doc bigint, last_doc bigint, first_tie bigint, doc_ids array<bigint>, starts array<int>, data binary"
-PIECE = 8 << 20
+PIECE = 4 << 20
 
 
 #: Letters that are one pre-token together, and ASCII marks that are one after them; the apostrophe, which has rules of its own, is neither.
