@@ -69,7 +69,7 @@ def text_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 @dataclass
 class Bags:
-    """Sparse rows, in few large arrays: for each text its buckets and their weights, which sum to 1."""
+    """Sparse rows, in few large arrays, one of each kind a batch: for each text its buckets and their weights, which sum to 1."""
 
     bucket: list = field(default_factory=list)
     weight: list = field(default_factory=list)
@@ -78,27 +78,39 @@ class Bags:
     def add(self, texts: pa.Array, s: Settings) -> None:
         distinct, codes, at = text_words(texts)
         grams = [np.array(subwords(w, s), np.int32) for w in distinct.to_pylist()]
-        buckets, weights = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+        buckets, weights, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             own, counts = np.unique(codes[a:b], return_counts=True)
             if not len(own):
-                self.size.append(0)
+                sizes.append(0)
                 continue
             ids = np.concatenate([grams[i] for i in own])
             w = np.concatenate([np.full(len(grams[i]), c / len(grams[i])) for i, c in zip(own, counts, strict=True)])
             ids, where = np.unique(ids, return_inverse=True)
             buckets.append(ids)
             weights.append((np.bincount(where, w) / (b - a)).astype(np.float32))
-            self.size.append(len(ids))
+            sizes.append(len(ids))
+        self.size.append(np.array(sizes, np.int64))
         self.bucket.append(np.concatenate(buckets))
         self.weight.append(np.concatenate(weights))
 
-    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Everything in three arrays; nothing is kept here."""
-        out = np.concatenate(self.bucket), np.concatenate(self.weight), np.array(self.size, np.int64)
-        self.bucket.clear()
-        self.weight.clear()
-        return out
+    def take(self, buckets: int, rare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Mask of the buckets that ``rare`` texts or more have, and bucket, weight and size of those alone. Nothing is kept
+        here, and there is never a second copy of the whole."""
+        seen = np.zeros(buckets, np.int64)
+        for ids in self.bucket:
+            seen += np.bincount(ids, minlength=buckets)
+        usual = seen >= rare
+        for i, ids in enumerate(self.bucket):
+            kept, ends = usual[ids], np.cumsum(self.size[i])
+            before = np.concatenate([[0], np.cumsum(kept)])
+            self.size[i] = before[ends] - before[ends - self.size[i]]
+            self.bucket[i], self.weight[i] = ids[kept], self.weight[i][kept]
+        out = []
+        for chunks, kind in ((self.bucket, np.int32), (self.weight, np.float32), (self.size, np.int64)):
+            out.append(np.concatenate([np.zeros(0, kind), *chunks]))
+            chunks.clear()
+        return usual, *out
 
 
 @dataclass
@@ -128,14 +140,8 @@ def train(bags: Bags, labels: np.ndarray, s: Settings) -> Model:
         return Model(s, table * 0, layer, np.array([0, side if n else -4.0], np.float32))
     weight = np.where(labels == 1, n / ones, s.clean_weight * n / (n - ones)) / (1 + s.clean_weight)
     weight = weight.astype(np.float32)
-    bucket, share, size = bags.take()
-    usual = np.bincount(bucket, minlength=s.buckets) >= s.rare
+    usual, bucket, share, size = bags.take(s.buckets, s.rare)
     table[~usual] = 0
-    kept = usual[bucket]
-    ends = np.cumsum(size)
-    before = np.concatenate([[0], np.cumsum(kept)])
-    size = before[ends] - before[ends - size]
-    bucket, share = bucket[kept], share[kept]
     begin = np.cumsum(size) - size
     params = [table, layer, bias]
     first = [np.zeros_like(p) for p in params]
@@ -185,6 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings, *, doc_id: str = "doc_i
     for batch in got.to_batches(max_chunksize=200):
         bags.add(batch.column(2), s)
         ys += batch.column(1).to_pylist()
+    got = batch = None
     model = train(bags, np.array(ys, np.int64), s)
     give_back()
     return model
