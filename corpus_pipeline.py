@@ -11,9 +11,8 @@ from hexavane.llm.queries import table, tokenizer_definition
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows scored below 0.5 stay, all columns as they were."""
-    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    model = toxicity.fit(packed, table(spark, sf_dir, "labels"), toxicity.Settings())
-    return toxicity.score(packed, model, keep=["row"], out="toxic_score").where("toxic_score < 0.5").select("row.*")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.Settings())
+    return docs.where(toxicity.probability(spark, model)(F.col("text")) < 0.5)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,18 +10,18 @@ After training, the model is linear in the mean, so scoring needs one number for
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .tokens import spread
-from .words import give_back, slices
+from .words import cuts, give_back
 
 #: Trimmed from both ends of a word.
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~…“”„’‘«»¿¡–—"
@@ -197,19 +197,21 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings, *, doc_id: str = "doc_i
     return model
 
 
-def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
-    """doc_id (or ``keep``) and ``out``, the probability of class 1, for each row; a text without words scores by the bias."""
-    ship(docs.sparkSession)
+def probability(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A function of a text column: the probability of class 1. A null text or one without words gets that of the bias.
+
+    Only the texts go to Python and only numbers come back; the rows stay where they are.
+    """
+    ship(spark)
     s = model.settings
-    sent = docs.sparkSession.sparkContext.broadcast((model.bucket_scores(), model.offset()))
-    picked = docs.select(*(keep or [doc_id]), F.col(text).alias("__text"))
-    schema = picked.drop("__text").withColumn(out, F.lit(0.0)).schema
+    sent = spark.sparkContext.broadcast((model.bucket_scores(), model.offset()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         buckets, offset = sent.value
         known: dict[str, float] = {}
-        for piece in slices(batches, "__text", PIECE):
-            distinct, codes, at = text_words(piece.column(piece.schema.get_field_index("__text")))
+
+        def odds(texts: pa.Array) -> np.ndarray:
+            distinct, codes, at = text_words(texts)
             if len(known) > 300_000:
                 known.clear()
             value = np.empty(len(distinct))
@@ -219,13 +221,15 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
                     v = known[w] = float(buckets[subwords(w, s)].mean())
                 value[i] = v
             total = np.concatenate([[0.0], np.cumsum(value[codes])]) if len(codes) else np.zeros(1)
-            n = np.diff(at)
-            log_odds = offset + np.diff(total[at]) / np.maximum(n, 1)
-            p = 1 / (1 + np.exp(-np.clip(log_odds, -500, 500)))
-            kept = piece.select(range(piece.num_columns - 1))
-            yield kept.append_column(out, pa.array(p, pa.float64()))
+            return offset + np.diff(total[at]) / np.maximum(np.diff(at), 1)
+
+        for texts in columns:
+            log_odds = np.concatenate([np.zeros(0), *(odds(texts.slice(a, b - a)) for a, b in cuts(texts, PIECE))])
+            yield pa.array(1 / (1 + np.exp(-np.clip(log_odds, -500, 500))), pa.float64())
+        known.clear()
+        give_back()
 
-    return picked.mapInArrow(run, schema)
+    return F.arrow_udf(run, "double")
 
 
 def toxic(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -235,5 +239,5 @@ def toxic(docs: DataFrame, labels: DataFrame, settings: Settings | None = None,
     """
     ship(docs.sparkSession)
     model = fit(docs, labels, settings or Settings(), doc_id=doc_id, text=text)
-    scored = score(docs, model, doc_id=doc_id, text=text)
-    return scored.select(F.col(doc_id).alias("doc_id"), (fold(F.col(doc_id)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = docs.select(F.col(doc_id).alias("doc_id"), probability(docs.sparkSession, model)(F.col(text)).alias("score"))
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -115,20 +115,22 @@ def count_words(texts: pa.Array, kind: np.ndarray) -> np.ndarray:
     return np.diff(np.searchsorted(starts, at)).astype(np.int64)
 
 
+def cuts(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
+    """Row ranges whose texts stay under ``most_bytes``, or that are one row."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        done = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, done + most_bytes, "right")))
+        yield at, to
+        at = to
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of a piece stay under ``most_bytes``, or the piece is one row."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        texts = batch.column(batch.schema.get_field_index(column))
-        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        total = np.cumsum(sizes)
-        at = 0
-        while at < batch.num_rows:
-            done = total[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(total, done + most_bytes, "right")))
+        for at, to in cuts(batch.column(batch.schema.get_field_index(column)), most_bytes):
             yield batch.slice(at, to - at)
-            at = to
     give_back()
 
 
