@@ -249,6 +249,20 @@ def test_licences(spark):
     assert m.best(bare) is None and all(m.best(t)[0] == n for n, t in licences.TEMPLATES)
 
 
+def test_licence_texts_and_tags(spark):
+    header = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    notices = {"tag": ("// SPDX-License-Identifier: MIT\ncode", "MIT"), "either": ("# SPDX-License-Identifier: (MIT OR GPL-2.0-or-later)", "(MIT OR GPL-2.0)"), "two": (header.format(2), "GPL-2.0"), "three": (header.format(3), "GPL-3.0"), "rights": ("Copyright 2020 Acme Inc. All rights reserved.", "proprietary"), "other": ("Licensed under the EUPL, Version 1.2.", None), "prose": ("they wrote of a tool released under the MIT License in those years", None)}
+    full = {n: "Copyright (c) 2020 Acme. All rights reserved.\n\n" + t for n, t in licences.full_texts()}
+    commented = {n: "/*\n" + "\n".join(" * " + x for x in t.split("\n")) + "\n */\n" + "call(alpha, beta);\n" * 300 for n, t in full.items() if len(t) < 3000}
+    assert len(full) > 15 and len(commented) > 6
+    rows = [(f"{k}/x.c", t) for k, (t, _) in notices.items()] + [(f"full/{n}/LICENSE", t) for n, t in full.items()] + [(f"code/{n}/x.c", t) for n, t in commented.items()] + [(f"whole/{n}/x", t) for n, t in full.items()]
+    got = {r["path"]: (r["licence"], r["scope"]) for r in licences.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {k: got[f"{k}/x.c"][0] for k in notices} == {k: n for k, (_, n) in notices.items()}
+    assert {n: got[f"full/{n}/LICENSE"] for n in full} == {n: (n, "file") for n in full}
+    assert {n: got[f"code/{n}/x.c"] for n in commented} == {n: (n, "header") for n in commented}
+    assert {n: got[f"whole/{n}/x"] for n in full} == {n: (n, "file") for n in full}
+
+
 # -- 8
 @pytest.mark.parametrize("same", [False, True])
 def test_nearest(spark, same):
