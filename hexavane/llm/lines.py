@@ -5,14 +5,15 @@ leaf, it joins the template that agrees with it at the largest share of its posi
 positions that differ become variable; else it starts a template. Templates found in ``min_docs`` documents or more are
 recurring, and all of their lines are dropped.
 
-Leaves are the shuffle key. Equal lines are merged before the shuffle; a leaf of more than ``leaf_lines`` distinct lines is
-split by a hash, each part builds its own templates, and these are merged once more in the whole leaf. Rows are streamed
-past the templates, never held.
+Leaves are the shuffle key. Equal lines are merged before the shuffle, and the lines of a leaf are streamed past its
+templates, never held. A leaf is never split, so growing input does not change how its lines are told apart; its templates
+are held by one task. Many templates are looked up by an index that gives what a scan of all of them gives: the positions
+after the first ``depth`` are cut into one block more than a line may have differing positions, so one block agrees.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from .words import SPACED, _buffers, _edges, mix, slices, words_of
 #: Stands for a variable field; no token hashes to it.
 ANY = np.uint16(0)
 PIECE = 2 << 20
+#: Up to so many templates of a leaf are scanned, which is faster than an index.
+DIRECT = 100
 
 
 def parse_lines(texts: pa.Array, depth: int) -> tuple[np.ndarray, ...]:
@@ -65,29 +68,61 @@ def line_hashes(first: np.ndarray, full: np.ndarray) -> np.ndarray:
 
 
 class Leaf:
-    """Templates of one leaf, all of one length."""
+    """Templates of one leaf, all of one length and equal in their first ``depth`` tokens."""
 
-    def __init__(self, length: int):
+    def __init__(self, length: int, depth: int, similar: float, direct: int):
         self.rows = np.zeros((8, length), np.uint16)
         self.names: list[int] = []
-
-    def place(self, line: np.ndarray, name: int, similar: float) -> int:
+        self.similar, self.direct = similar, direct
+        differ = length - int(np.ceil(similar * length - 1e-9))
+        cuts = np.linspace(min(depth, length), length, differ + 2).astype(int).tolist()
+        self.blocks = list(zip(cuts, cuts[1:], strict=False))  # an empty block agrees with all
+        self.index: dict[tuple[int, bytes], list[int]] | None = None
+
+    def enter(self, at: int, blocks: Iterable[int]) -> None:
+        for b in blocks:
+            self.index.setdefault((b, self.rows[at, slice(*self.blocks[b])].tobytes()), []).append(at)
+
+    def candidates(self, line: np.ndarray) -> np.ndarray:
+        """Numbers of templates, ascending, with all that are similar enough."""
+        n = len(self.names)
+        if n <= self.direct or any(a == b for a, b in self.blocks):
+            return np.arange(n)
+        if self.index is None:
+            self.index = {}
+            for i in range(n):
+                self.enter(i, range(len(self.blocks)))
+        found: set[int] = set()
+        for k, (a, b) in enumerate(self.blocks):
+            found.update(self.index.get((k, line[a:b].tobytes()), ()))
+        return np.array(sorted(found), np.int64)
+
+    def place(self, line: np.ndarray, name: int) -> int:
         """Name of the template the line joins; ``name`` if it starts one. Of equals the earliest."""
         n = len(self.names)
-        if n:
-            agree = (self.rows[:n] == line).sum(1)
-            best = int(agree.argmax())
-            if agree[best] >= similar * len(line):
-                self.rows[best][self.rows[best] != line] = ANY
+        some = self.candidates(line)
+        if len(some):
+            agree = ((self.rows[:n] if len(some) == n else self.rows[some]) == line).sum(1)
+            top = int(agree.argmax())
+            if agree[top] >= self.similar * len(line):
+                best = int(some[top])
+                off = self.rows[best] != line
+                if off.any():
+                    fresh = off & (self.rows[best] != ANY)
+                    self.rows[best][off] = ANY
+                    if self.index is not None:
+                        self.enter(best, [k for k, (a, b) in enumerate(self.blocks) if fresh[a:b].any()])
                 return self.names[best]
-            if n == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        if n == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[n] = line
         self.names.append(name)
+        if self.index is not None:
+            self.enter(n, range(len(self.blocks)))
         return name
 
 
-def _cluster(lines: DataFrame, keys: list[str], similar: float) -> DataFrame:
+def _cluster(lines: DataFrame, keys: list[str], depth: int, similar: float, direct: int) -> DataFrame:
     """line, template for the rows (keys, line, tokens), a leaf after the other in a stream; lines in the order of their hash,
     so the outcome does not hang on arrival."""
 
@@ -100,9 +135,9 @@ def _cluster(lines: DataFrame, keys: list[str], similar: float) -> DataFrame:
             for i, (line, data) in enumerate(zip(lines_, raw, strict=True)):
                 key = tuple(n[i] for n in names)
                 if key != now:
-                    now, leaf, last = key, Leaf(len(data) // 2), None
+                    now, leaf, last = key, Leaf(len(data) // 2, depth, similar, direct), None
                 if line != last:
-                    joined = leaf.place(np.frombuffer(data, np.uint16), line, similar) if len(data) // 2 == leaf.rows.shape[1] else line
+                    joined = leaf.place(np.frombuffer(data, np.uint16), line) if len(data) // 2 == leaf.rows.shape[1] else line
                     last = line
                     out_line.append(line)
                     out_template.append(joined)
@@ -143,7 +178,7 @@ def templates(occurrences: DataFrame, docs: DataFrame, *, depth: int, similar: f
     """line, template for lines that generalise; others are their own template."""
     distinct = occurrences.select("leaf", "line").distinct().groupBy("leaf").agg(F.count("*").alias("lines"))
     spread = occurrences.groupBy("leaf").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a != b" if min_docs > 1 else "true").select("leaf")
-    busy = materialize(distinct.where("lines > 1").join(spread, "leaf", "left_semi").select("leaf", F.ceil(F.col("lines") / leaf_lines).cast("int").alias("parts")), "leaves")
+    busy = materialize(distinct.where("lines > 1").join(spread, "leaf", "left_semi").select("leaf"), "leaves")
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(busy))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,12 +191,7 @@ def templates(occurrences: DataFrame, docs: DataFrame, *, depth: int, similar: f
             yield pa.record_batch([pa.array(leaf[at], pa.int64()), pa.array(lines[at], pa.int64()), pa.array([tokens[first[i] : first[i + 1]].tobytes() for i in at], pa.binary())], ["leaf", "line", "tokens"])
 
     parsed = docs.select("text").mapInArrow(run, "leaf bigint, line bigint, tokens binary").join(busy.hint("merge"), "leaf")
-    dealt = materialize(parsed.withColumn("part", F.pmod("line", "parts").cast("int")), "lines")
-    local = materialize(_cluster(dealt, ["leaf", "part"], similar), "local")
-    split = dealt.where("parts > 1")
-    heads = split.join(local.where("line = template").select("line"), "line", "left_semi").select("leaf", "line", "tokens")
-    merged = _cluster(heads, ["leaf"], similar).select(F.col("line").alias("template"), F.col("template").alias("final"))
-    return local.join(merged, "template", "left").select("line", F.coalesce("final", "template").alias("template"))
+    return _cluster(parsed.select("leaf", "line", "tokens"), ["leaf"], depth, similar, min(leaf_lines, DIRECT))
 
 
 def drop_recurring(docs: DataFrame, *, depth: int = 3, similar: float = 0.7, min_docs: int = 6, leaf_lines: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,6 +199,7 @@ def drop_recurring(docs: DataFrame, *, depth: int = 3, similar: float = 0.7, min
 
     Lines end at \\n; blank lines always stay. Null texts stay null and have no lines. Rows that repeat both id and text count
     as one document, and each is returned. Documents are told apart by a hash of id and text; other columns are ignored.
+    ``leaf_lines`` changes no result: where it is below ``DIRECT``, a leaf has its index from so many templates on.
     """
     ship(docs.sparkSession)
     narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))

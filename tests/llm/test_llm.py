@@ -357,6 +357,38 @@ def test_line_dedup(spark, docs, nothing):
     assert lines.drop_recurring(docs).count() == docs.count() and lines.drop_recurring(nothing).count() == 0
 
 
+def plain_leaf(rows, similar):
+    """Templates by a scan of all of them."""
+    made, out = [], []
+    for name, row in rows:
+        best = max(range(len(made)), key=lambda i: (sum(a == b for a, b in zip(made[i][1], row, strict=True)), -i), default=None)
+        if best is not None and sum(a == b for a, b in zip(made[best][1], row, strict=True)) >= similar * len(row):
+            made[best][1][:] = [a if a == b else 0 for a, b in zip(made[best][1], row, strict=True)]
+            out.append(made[best][0])
+        else:
+            made.append((name, list(row)))
+            out.append(name)
+    return out
+
+
+@pytest.mark.parametrize("length,similar", [(4, 0.7), (5, 0.7), (10, 0.7), (12, 0.7), (12, 1.0), (9, 0.5)])
+def test_large_leaf(length, similar):
+    rng = random.Random(length)
+    base = [[1, 2, 3] + [rng.randint(0, 30) for _ in range(length - 3)] for _ in range(40)]
+    rows = [(k, [x if i < 3 or rng.random() < 0.75 else rng.randint(0, 30) for i, x in enumerate(rng.choice(base))]) for k in range(900)]
+    leaf = lines.Leaf(length, 3, similar, 5)
+    assert [leaf.place(np.array(r, np.uint16), k) for k, r in rows] == plain_leaf(rows, similar)
+
+
+def test_line_dedup_of_any_size(spark):
+    rng = random.Random(1)
+    base = [[f"{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(9)] for _ in range(60)]
+    made = ["one two three " + " ".join(w if rng.random() < 0.7 else chr(97 + rng.randrange(26)) + "zz" for w in rng.choice(base)) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string")
+    outcomes = [sorted(map(tuple, lines.drop_recurring(df, leaf_lines=n).collect())) for n in (20_000, 500, 40)]
+    assert outcomes[0] == outcomes[1] == outcomes[2] and 0 < sum(r[2] for r in outcomes[0]) < 1500
+
+
 # -- queries and pipeline
 def test_digest(spark):
     got = {r["doc_id"]: r["items_sha256"] for r in queries.op1_decontamination(spark, SF).where("n_items = 0").limit(1).collect()}
