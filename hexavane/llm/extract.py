@@ -2,10 +2,12 @@
 
 The standard library's parser feeds lines: a line is the text between two block boundaries, with the number of tags met in
 it. Lines inside elements that never hold an article (menus, headers, footers, asides, forms, scripts, notices, adverts,
-comments) are marked at once. The text-to-tag ratios of the lines are smoothed by a Gaussian; lines above the threshold, a
+comments) are marked at once. Class, id and label mark an element if all of their words do; if only some do, see ``grade``.
+The text-to-tag ratios of the lines are smoothed by a Gaussian; lines above the threshold, a
 share of the ratios' standard deviation, form the content clusters. The region that holds them is the innermost article or
 main element with most of their text, and all its unmarked lines are the result; a page without such an element
-gives the span of its clusters, headings before them included.
+gives the span of its clusters, headings before them included. A page whose lines are all marked by class, id or label
+counts as one without such marks.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from .words import slices
 
 # Element names and words in class, id or role that mark parts of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-NEVER = frozenset("nav header footer aside form script style noscript template iframe object svg canvas button select textarea dialog menu head title math audio video map applet fieldset label input option datalist figcaption".split()) - {"figcaption"}
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics annotation annotation-xml".split())
+NEVER = frozenset("nav header footer aside form script style noscript template iframe object svg canvas button select textarea dialog menu head title audio video map applet fieldset label input option datalist figcaption".split()) - {"figcaption"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCK_CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 REGIONS = frozenset(["article", "main"])
@@ -35,18 +37,54 @@ BOILER = re.compile(
     r"footer|foot|header|masthead|toolbar|pagination|pager|copyright|legal|disclaimer|skip|search|tags|byline-share)(?:$|[\s_-])",
     re.I,
 )
+#: Words beside the ones above in names of page parts.
+BESIDE = frozenset("site page main top bottom box bar list links posts articles section block area form button buttons icon icons slot unit item items text message primary secondary global and of the us our your".split())
+#: Words that mark a class whatever stands beside them; the others may be topics.
+STRONG = re.compile(r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|gdpr|newsletter|subscribe|disqus|comments|commentlist|breadcrumbs?|pagination|pager|navbar|masthead|share|sharing", re.I)
+#: Ids and labels that mark a section inside an article; the others may be what the section is about.
+PARTS = re.compile(r"ads?|adsense|comments?|commentlist|respond|replies|disqus|newsletter|subscribe|signup|sidebar|breadcrumbs?|pagination|pager|navbar|toolbar|masthead", re.I)
+LAYOUT = re.compile(r"(?:has|with|without|no|is)[-_]", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 SPACE = re.compile(r"[ \t\n\r\f\v  -   　]+")
 PIECE = 2 << 20
 
 
+def words_in(value: str) -> list[str]:
+    return [w for w in re.split(r"[\s_-]+", value) if w]
+
+
+def grade(tag: str, name: str, value: str, inside: bool) -> int:
+    """2: the element is marked; 1: marked unless an article or main element lies in it; 0: not marked.
+
+    A value marks if all of its words name page parts, words beside included; of a class each name is a value. Otherwise
+    words that cannot be topics mark a class; other words mark a class outside of articles, and no heading or section.
+    Ids and labels never mark headings, and sections inside an article only if they name what is no topic.
+    """
+    own = tag in HEADINGS or tag == "section"
+    if name != "class" and tag in HEADINGS:
+        return 0
+    best = 0
+    for one in value.split() if name == "class" else [value]:
+        if not BOILER.search(one) or LAYOUT.match(one):
+            continue
+        words = words_in(one)
+        named = [w for w in words if BOILER.fullmatch(w)]
+        if BOILER.fullmatch(one) or len(named) and all(w in named or w.lower() in BESIDE or w.isdigit() for w in words):
+            if name == "class" or not (tag == "section" and inside) or any(PARTS.fullmatch(w) for w in named):
+                best = 2
+        elif name == "class" and not own and (not inside or any(STRONG.fullmatch(w) for w in words)):
+            best = max(best, 1)
+    return best
+
+
 class Lines(HTMLParser):
     """Collects lines: text, tags, whether marked, the open regions, whether a heading."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # name, marked from here on, region number or 0
-        self.marked, self.regions, self.made = 0, [], 0
+        self.open: list[tuple[str, tuple[int, int, int], int]] = []  # name, marks from here on, region number or 0
+        self.marked = [0, 0, 0]  # by class that an article inside lifts; by class, id or label that main lifts; by element, role or hidden
+        self.regions, self.made = [], 0
         self.text: list[str] = []
         self.tags, self.lines = 0, []
 
@@ -54,7 +92,7 @@ class Lines(HTMLParser):
         whole = SPACE.sub(" ", "".join(self.text)).strip()
         if whole:
             heading = any(n in HEADINGS for n, _, _ in self.open)
-            self.lines.append((whole, self.tags, self.marked > 0, tuple(self.regions), heading))
+            self.lines.append((whole, self.tags, 2 if self.marked[2] else 1 if any(self.marked) else 0, tuple(self.regions), heading))
             self.tags = 0
         self.text.clear()
 
@@ -70,19 +108,24 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        marked = tag in NEVER
+        marks = [0, 0, int(tag in NEVER)]
         for name, value in attrs:
-            if name in ("class", "id", "aria-label") and value and tag not in REGIONS and tag not in ("html", "body") and BOILER.search(value):
-                marked = True
+            if name in ("class", "id", "aria-label") and value and tag not in REGIONS and tag not in ("html", "body"):
+                if level := grade(tag, name, value, bool(self.regions)):
+                    marks[level - 1] = 1
             elif name == "role" and value and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-                marked = True
+                marks[2] = 1
         region = 0
         if tag in REGIONS or any(n == "role" and v == "main" for n, v in attrs):
             self.made += 1
             region = self.made
+            lifted = 0 if self.regions else 1 if tag == "article" else 2  # what lies around the main part is its layout
+            for k in range(lifted):
+                self.marked[k] = 0
+            self.open = [(n, (*[0] * lifted, *m[lifted:]), r) for n, m, r in self.open]
             self.regions.append(region)
-        self.marked += marked
-        self.open.append((tag, marked, region))
+        self.marked = [a + b for a, b in zip(self.marked, marks, strict=True)]
+        self.open.append((tag, tuple(marks), region))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -100,15 +143,16 @@ class Lines(HTMLParser):
         if tag not in INLINE:
             self.end_line()
         while self.open:
-            name, marked, region = self.open.pop()
-            self.marked -= marked
+            name, marks, region = self.open.pop()
+            self.marked = [a - b for a, b in zip(self.marked, marks, strict=True)]
             if region:
                 self.regions.remove(region)
             if name == tag:
                 return
 
     def handle_data(self, data: str) -> None:
-        self.text.append(data)
+        if not any(n in ("annotation", "annotation-xml") for n, _, _ in self.open):  # source of a formula, not shown
+            self.text.append(data)
 
 
 def smoothed(ratio: np.ndarray, radius: int = 2) -> np.ndarray:
@@ -126,7 +170,7 @@ def main_text(html: str | None, *, share: float = 0.5) -> str:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = [x for x in parser.lines if not x[2]]
+    lines = [x for x in parser.lines if not x[2]] or [x for x in parser.lines if x[2] < 2]
     if not lines:
         return ""
     ratio = np.array([len(t) / max(tags, 1) for t, tags, _, _, _ in lines])

@@ -239,6 +239,18 @@ def test_extraction(spark):
     assert extract.extract(pages.limit(0)).count() == 0
 
 
+def test_extraction_drops_nothing_else():
+    one, two, three = ("A first paragraph of the article. " * 6).strip(), ("A second one, no shorter. " * 6).strip(), ("And a third of them. " * 6).strip()
+    page = f"""<body><nav>Menu</nav><div class="page has-sidebar"><div class="content-sidebar-wrap"><article><h1 id="social">Title</h1><p>{one}</p>
+    <h2 id="related-work">Related work</h2><p>{two}</p><section id="legal-history"><h2>Law</h2><p>{three}</p></section><section id="legal" aria-label="Legal"><p>Legal words.</p></section>
+    <div id="social-impact"><p>Impact.</p></div><div class="legal-history"><p>History.</p></div><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x^2</annotation></math> holds.</p>
+    <div class="inline-ad-slot">Buy.</div><div class="post-comments">No!</div><section id="comments">I disagree.</section><div class="social-share">Share</div></article></div><div class="sidebar-left">Left</div></div></body>"""
+    assert extract.main_text(page).split("\n\n") == ["Title", one, "Related work", two, "Law", three, "Legal words.", "Impact.", "History.", "So x=1 holds."]
+    assert extract.main_text(f'<body><nav>Menu</nav><div class="sidebar"><h1>Title</h1><p>{one}</p><p>{two}</p></div><footer>f</footer></body>').split("\n\n") == ["Title", one, two]
+    assert extract.main_text(f'<body><p>Elsewhere.</p><div class="sidebar"><main><h1>Title</h1><p>{one}</p></main></div></body>').split("\n\n") == ["Title", one]
+    assert extract.main_text("<body><nav>Menu</nav><footer>f</footer></body>") == ""
+
+
 # -- 7
 def test_licences(spark):
     rows = [("p/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."), ("p/a.py", "code"), ("p/q/b.py", "# Licensed under the Apache License, Version 2.0.\ncode by me"), ("p/q/r/c.py", None), ("z/d.py", "licensed premises under version"), ("p/v/COPYING", "x\nThis work is licensed under the GNU General Public License, version 3."), ("p/v/w/e.py", ""), ("p/a.py", "code"), (None, "All rights reserved."), ("top.txt", "All rights reserved.")]
