@@ -86,26 +86,43 @@ class Segment:
     def list_of(self, slot: int) -> np.ndarray:
         return self.positions[self.begin[slot] : self.begin[slot + 1]]
 
-    def phrase(self, slots: np.ndarray, slack: int = 0) -> np.ndarray:
-        """Start positions at which the terms stand one after the other inside one document; with ``slack``, each term may
-        stand up to that many places off."""
+    def phrase(self, slots: np.ndarray, slack: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end positions of the stretches in which the terms stand one after the other inside one document; with
+        ``slack``, each term may stand up to that many places off, and a stretch runs from its first term to its last."""
         sizes = self.begin[slots + 1] - self.begin[slots]
         order = np.argsort(sizes, kind="stable")
+        if slack:
+            return self._loose(slots, order, slack)
         found = self.list_of(slots[order[0]]) - order[0]
         for k in order[1:]:
             there = self.list_of(slots[k]) - k
-            if slack:
-                near = np.searchsorted(there, found - slack)
-                found = found[(near < len(there)) & (there[np.minimum(near, len(there) - 1)] <= found + slack)]
-            else:
-                near = np.searchsorted(there, found)
-                near[near == len(there)] = 0
-                found = found[there[near] == found]
+            near = np.searchsorted(there, found)
+            near[near == len(there)] = 0
+            found = found[there[near] == found]
             if not len(found):
-                return found
+                return found, found
         found = found[found >= 0]
         doc = np.searchsorted(self.first, found, "right") - 1
-        return found[found + len(slots) <= self.first[doc + 1]]
+        found = found[found + len(slots) <= self.first[doc + 1]]
+        return found, found + len(slots)
+
+    def _loose(self, slots: np.ndarray, order: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
+        """Every start is tried that the rarest term allows, so which term is rarest does not matter; a start may lie before
+        its document, matched positions may not."""
+        rare = self.list_of(slots[order[0]])
+        at = np.repeat(rare, 2 * slack + 1)
+        start = at - order[0] + np.tile(np.arange(-slack, slack + 1), len(rare))
+        doc = np.searchsorted(self.first, at, "right") - 1
+        low, high = at, at
+        for k in order[1:]:
+            there = self.list_of(slots[k])
+            near = np.searchsorted(there, np.maximum(start + k - slack, self.first[doc]))
+            match = there[np.minimum(near, len(there) - 1)]
+            good = (near < len(there)) & (match <= np.minimum(start + k + slack, self.first[doc + 1] - 1))
+            start, doc, match = start[good], doc[good], match[good]
+            low, high = np.minimum(low[good], match), np.maximum(high[good], match)
+        spans = np.unique(np.stack([low, high + 1], axis=1), axis=0)
+        return spans[:, 0], spans[:, 1]
 
 
 @dataclass
@@ -155,17 +172,17 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iter
         yield ids, texts
 
 
-def search_segment(seg: Segment, patterns: Patterns, slack: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(length, phrase number, start positions, item numbers) of every phrase that occurs."""
+def search_segment(seg: Segment, patterns: Patterns, slack: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(start positions, end positions, item numbers) of every phrase that occurs."""
     if not len(seg.terms):
         return
     for n, phrases in patterns.phrases.items():
         slots = np.searchsorted(seg.terms, phrases)
         slots[slots == len(seg.terms)] = 0
         for p in np.flatnonzero((seg.terms[slots] == phrases).all(axis=1)).tolist():
-            found = seg.phrase(slots[p], slack)
+            found, ends = seg.phrase(slots[p], slack)
             if len(found):
-                yield n, p, found, patterns.items[n][p]
+                yield found, ends, patterns.items[n][p]
 
 
 def matches(index: DataFrame, patterns: Patterns, *, slack: int = 0) -> DataFrame:
@@ -185,9 +202,9 @@ def _documents(seg: Segment, patterns: Patterns, slack: int) -> pa.RecordBatch:
     n_docs, total = len(seg.doc_ids), int(seg.first[-1])
     edge = np.zeros(total + 1, np.int32)
     items: list[set] = [set() for _ in range(n_docs)]
-    for n, _, found, who in search_segment(seg, patterns, slack):
+    for found, ends, who in search_segment(seg, patterns, slack):
         np.add.at(edge, found, 1)
-        np.add.at(edge, found + n, -1)
+        np.add.at(edge, ends, -1)
         for d in np.unique(np.searchsorted(seg.first, found, "right") - 1).tolist():
             items[d].update(who.tolist())
     hit = np.cumsum(edge)[:-1] > 0

@@ -94,6 +94,13 @@ def test_full_index_and_proximity(spark, nothing):
     assert contamination.contaminated(nothing, d.withColumnRenamed("doc_id", "item_id")).count() == 0
 
 
+def test_proximity_at_document_edges(spark):
+    d = spark.createDataFrame([(1, "b a c a a a"), (2, "a x b"), (3, "c c c"), (4, "x a b"), (5, "a c b")], "doc_id bigint, text string").coalesce(1)
+    index, p = contamination.build_index(d), contamination.patterns_of([7], ["a b c"], 10)
+    found = {n: {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in contamination.matches(index, p, slack=n).collect() if r["items"]} for n in (0, 1, 2)}
+    assert found == {0: {}, 1: {1: [(0, 3)], 5: [(0, 3)]}, 2: {1: [(0, 3)], 5: [(0, 3)]}}
+
+
 # -- 2
 def test_packing():
     rng = np.random.default_rng(1)
