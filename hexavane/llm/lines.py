@@ -1,19 +1,18 @@
 """Line deduplication by a log-template tree of fixed depth.
 
-A line goes to the leaf of its token count and its first ``depth`` tokens, tokens with a digit counting as variable. In a
-leaf, it joins the template that agrees with it at the largest share of its positions, ``similar`` at least, and the
-positions that differ become variable; else it starts a template. Templates found in ``min_docs`` documents or more are
-recurring, and all of their lines are dropped.
-
-Leaves are the shuffle key. Equal lines are merged before the shuffle, and the lines of a leaf are streamed past its
-templates, never held. A leaf is never split, so growing input does not change how its lines are told apart; its templates
-are held by one task. Many templates are looked up by an index that gives what a scan of all of them gives: the positions
-after the first ``depth`` are cut into one block more than a line may have differing positions, so one block agrees.
+A line goes to the leaf of its token count and its first ``depth`` tokens; tokens with a digit are variable fields there and
+everywhere. Inside a leaf a token is constant at its position if enough lines of documents have it there, else it is a variable
+field; a line's template is the leaf with the line's constants, if they are ``similar`` of its tokens at least. A variable field
+may have a value that is common in itself, so templates are made at ``LEVELS`` several bounds on how common a constant is.
+Lines whose template, or which themselves, stand in ``min_docs`` documents or more recur, and all of them are dropped.
+
+Constants are told by counts, so neither the order of lines nor how they are dealt to tasks has a part in the outcome, and no
+task holds a leaf: counts are added up before each shuffle, and rows are keyed by token, line, template or document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,125 +24,54 @@ from ..shipping import ship
 from .scratch import materialize
 from .words import SPACED, _buffers, _edges, mix, slices, words_of
 
-#: Stands for a variable field; no token hashes to it.
-ANY = np.uint16(0)
 PIECE = 2 << 20
-#: Up to so many templates of a leaf are scanned, which is faster than an index.
-DIRECT = 100
+#: Bounds for constants, in multiples of ``min_docs``.
+LEVELS = (1, 4, 16)
 
 
 def parse_lines(texts: pa.Array, depth: int) -> tuple[np.ndarray, ...]:
-    """For the lines of all texts: the text's number, place in it, leaf, first token offsets, tokens (masked, hashed to 16 bits) and their full hashes."""
+    """For the lines of all texts: the text's number, place in it, leaf, first token offsets, hash of each token (0 for
+    variable ones), and a hash of the whole line."""
     split = pc.split_pattern(pc.fill_null(texts, ""), "\n")
     flat = split.flatten()
     counts = np.diff(split.offsets.to_numpy())
     words = words_of(flat, SPACED)
-    full = words.hashes.copy()
-    tokens = (words.hashes >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+    first = words.first
+    line = line_hashes(first, words.hashes)
+    tokens = words.hashes.copy()
     if len(tokens):
         raw, at = _buffers(flat)
-        inside, starts, ends = _edges(raw, at, SPACED)
+        _, starts, ends = _edges(raw, at, SPACED)
         digits = np.concatenate([[0], np.cumsum((raw >= 48) & (raw <= 57))])
-        variable = digits[ends] > digits[starts]
-        tokens[variable], full[variable] = ANY, 0
-    first = words.first
+        tokens[digits[ends] > digits[starts]] = 0
     sizes = np.diff(first)
     leaf = mix(sizes.astype(np.uint64) + np.uint64(depth))
     for k in range(depth):
         has = sizes > k
-        leaf[has] = mix(leaf[has] * np.uint64(3) + full[first[:-1][has] + k])
+        leaf[has] = mix(leaf[has] * np.uint64(3) + tokens[first[:-1][has] + k])
     owner = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return owner, place, leaf.view(np.int64), first, tokens, full
+    return owner, place, leaf.view(np.int64), first, tokens, line
 
 
-def line_hashes(first: np.ndarray, full: np.ndarray) -> np.ndarray:
-    """One hash for each line's masked tokens in order."""
+def line_hashes(first: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """One hash for each line's tokens in order."""
     sizes = np.diff(first)
     n = np.repeat(sizes, sizes)
-    place = np.arange(len(full)) - np.repeat(first[:-1], sizes)
-    terms = mix(full + (place.astype(np.uint64) << np.uint64(32)) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    terms = mix(tokens + (_places(first).astype(np.uint64) << np.uint64(32)) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
     return mix(total[first[1:]] - total[first[:-1]] + sizes.astype(np.uint64)).view(np.int64)
 
 
-class Leaf:
-    """Templates of one leaf, all of one length and equal in their first ``depth`` tokens."""
-
-    def __init__(self, length: int, depth: int, similar: float, direct: int):
-        self.rows = np.zeros((8, length), np.uint16)
-        self.names: list[int] = []
-        self.similar, self.direct = similar, direct
-        differ = length - int(np.ceil(similar * length - 1e-9))
-        cuts = np.linspace(min(depth, length), length, differ + 2).astype(int).tolist()
-        self.blocks = list(zip(cuts, cuts[1:], strict=False))  # an empty block agrees with all
-        self.index: dict[tuple[int, bytes], list[int]] | None = None
-
-    def enter(self, at: int, blocks: Iterable[int]) -> None:
-        for b in blocks:
-            self.index.setdefault((b, self.rows[at, slice(*self.blocks[b])].tobytes()), []).append(at)
-
-    def candidates(self, line: np.ndarray) -> np.ndarray:
-        """Numbers of templates, ascending, with all that are similar enough."""
-        n = len(self.names)
-        if n <= self.direct or any(a == b for a, b in self.blocks):
-            return np.arange(n)
-        if self.index is None:
-            self.index = {}
-            for i in range(n):
-                self.enter(i, range(len(self.blocks)))
-        found: set[int] = set()
-        for k, (a, b) in enumerate(self.blocks):
-            found.update(self.index.get((k, line[a:b].tobytes()), ()))
-        return np.array(sorted(found), np.int64)
-
-    def place(self, line: np.ndarray, name: int) -> int:
-        """Name of the template the line joins; ``name`` if it starts one. Of equals the earliest."""
-        n = len(self.names)
-        some = self.candidates(line)
-        if len(some):
-            agree = ((self.rows[:n] if len(some) == n else self.rows[some]) == line).sum(1)
-            top = int(agree.argmax())
-            if agree[top] >= self.similar * len(line):
-                best = int(some[top])
-                off = self.rows[best] != line
-                if off.any():
-                    fresh = off & (self.rows[best] != ANY)
-                    self.rows[best][off] = ANY
-                    if self.index is not None:
-                        self.enter(best, [k for k, (a, b) in enumerate(self.blocks) if fresh[a:b].any()])
-                return self.names[best]
-        if n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[n] = line
-        self.names.append(name)
-        if self.index is not None:
-            self.enter(n, range(len(self.blocks)))
-        return name
-
-
-def _cluster(lines: DataFrame, keys: list[str], depth: int, similar: float, direct: int) -> DataFrame:
-    """line, template for the rows (keys, line, tokens), a leaf after the other in a stream; lines in the order of their hash,
-    so the outcome does not hang on arrival."""
+def _places(first: np.ndarray) -> np.ndarray:
+    """Place of each token in its line."""
+    sizes = np.diff(first)
+    return np.arange(int(sizes.sum())) - np.repeat(first[:-1] - first[0], sizes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, leaf, last, joined = None, None, None, 0
-        for batch in batches:
-            names = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys]
-            lines_, raw = batch.column(batch.schema.get_field_index("line")).to_pylist(), batch.column(batch.schema.get_field_index("tokens")).to_pylist()
-            out_line, out_template = [], []
-            for i, (line, data) in enumerate(zip(lines_, raw, strict=True)):
-                key = tuple(n[i] for n in names)
-                if key != now:
-                    now, leaf, last = key, Leaf(len(data) // 2, depth, similar, direct), None
-                if line != last:
-                    joined = leaf.place(np.frombuffer(data, np.uint16), line) if len(data) // 2 == leaf.rows.shape[1] else line
-                    last = line
-                    out_line.append(line)
-                    out_template.append(joined)
-            yield pa.record_batch([pa.array(out_line, pa.int64()), pa.array(out_template, pa.int64())], ["line", "template"])
-
-    return lines.repartition(*keys).sortWithinPartitions(*keys, "line").mapInArrow(run, "line bigint, template bigint")
+
+def field_keys(leaf: np.ndarray, place: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """One number for a token at a place of a leaf."""
+    return mix(mix(leaf.view(np.uint64) + place.astype(np.uint64)) * np.uint64(3) + tokens).view(np.int64)
 
 
 BITMAP_BITS = 25
@@ -174,52 +102,93 @@ def listed(bits: np.ndarray, leaf: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
-def templates(occurrences: DataFrame, docs: DataFrame, *, depth: int, similar: float, min_docs: int, leaf_lines: int) -> DataFrame:
-    """line, template for lines that generalise; others are their own template."""
-    distinct = occurrences.select("leaf", "line").distinct().groupBy("leaf").agg(F.count("*").alias("lines"))
-    spread = occurrences.groupBy("leaf").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a != b" if min_docs > 1 else "true").select("leaf")
-    busy = materialize(distinct.where("lines > 1").join(spread, "leaf", "left_semi").select("leaf"), "leaves")
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(busy))
+def occurrences(docs: DataFrame, depth: int) -> DataFrame:
+    """doc, place, leaf and line of every line that is not blank; ``docs`` has doc and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text", PIECE):
-            _, _, leaf, first, tokens, full = parse_lines(piece.column(0), depth)
-            may = np.flatnonzero((np.diff(first) > depth) & listed(sent.value, leaf))
-            lines = line_hashes(first, full)
-            _, at = np.unique(lines[may], return_index=True)
-            at = may[at]
-            yield pa.record_batch([pa.array(leaf[at], pa.int64()), pa.array(lines[at], pa.int64()), pa.array([tokens[first[i] : first[i + 1]].tobytes() for i in at], pa.binary())], ["leaf", "line", "tokens"])
+            owner, place, leaf, first, _, line = parse_lines(piece.column(1), depth)
+            some = np.diff(first) > 0
+            doc = piece.column(0).to_numpy()[owner[some]]
+            yield pa.record_batch([pa.array(x) for x in (doc, place[some].astype(np.int32), leaf[some], line[some])], ["doc", "place", "leaf", "line"])
+
+    return docs.select("doc", "text").mapInArrow(run, "doc bigint, place int, leaf bigint, line bigint")
 
-    parsed = docs.select("text").mapInArrow(run, "leaf bigint, line bigint, tokens binary").join(busy.hint("merge"), "leaf")
-    return _cluster(parsed.select("leaf", "line", "tokens"), ["leaf"], depth, similar, min(leaf_lines, DIRECT))
 
+def fields(docs: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
+    """leaf, line, n (tokens), keys (of its constant candidates) for the lines of ``leaves``, from the texts; lines repeat."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(leaves))
 
-def drop_recurring(docs: DataFrame, *, depth: int = 3, similar: float = 0.7, min_docs: int = 6, leaf_lines: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "text", PIECE):
+            _, _, leaf, first, tokens, line = parse_lines(piece.column(0), depth)
+            may = np.flatnonzero((np.diff(first) > 0) & listed(sent.value, leaf))
+            _, at = np.unique(line[may], return_index=True)
+            at = may[at]
+            sizes = np.diff(first)
+            keys = field_keys(np.repeat(leaf, sizes), _places(first), tokens)
+            own = [slice(first[i], first[i + 1]) for i in at.tolist()]
+            kept = [keys[s][tokens[s] != 0] for s in own]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.int64), *kept])
+            yield pa.record_batch([pa.array(leaf[at]), pa.array(line[at]), pa.array(sizes[at].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["leaf", "line", "n", "keys"])
+
+    made = docs.select("text").mapInArrow(run, "leaf bigint, line bigint, n int, keys array<bigint>")
+    return made.join(leaves.hint("merge"), "leaf", "left_semi")
+
+
+def recurring(found: DataFrame, docs: DataFrame, *, depth: int, similar: float, min_docs: int) -> DataFrame:
+    """The lines that recur, from the occurrences ``found`` and their texts."""
+    pairs = found.select("leaf", "line", "doc").distinct()
+    shared = materialize(found.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "shared")
+    pairs = materialize(pairs.join(shared.hint("merge"), "leaf", "left_semi"), "pairs")
+    lines = materialize(pairs.groupBy("leaf", "line").agg(F.count("*").alias("docs")), "lines")
+    busy = materialize(lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).where("lines > 1").select("leaf"), "busy")
+    parsed = fields(docs, busy, depth).groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    parsed = materialize(parsed.join(lines.select("line", "docs"), "line"), "fields")
+    each = parsed.select("line", "leaf", "n", "docs", F.explode("keys").alias("key"))
+    support = materialize(each.groupBy("key").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs), "support")
+    common = each.select("line", "leaf", "n", "key").join(support.hint("merge"), "key")
+    constant = [F.col("support") >= min_docs * m for m in LEVELS]
+    told = common.groupBy("line", "leaf", "n").agg(*[f.alias(f"{name}{i}") for i, yes in enumerate(constant) for name, f in (("x", F.expr(f"bit_xor(IF(support >= {min_docs * LEVELS[i]}, key, 0))")), ("c", F.count(F.when(yes, 1))))])
+    # constants differ from level to level or the template is the same, so a template's hash need not name its level
+    made = [F.when(F.col(f"c{i}") >= F.ceil(F.lit(similar) * F.col("n") - 1e-9), F.xxhash64("leaf", f"x{i}", f"c{i}")) for i in range(len(LEVELS))]
+    templates = materialize(told.select("line", F.array_distinct(F.array_compact(F.array(*made))).alias("templates")).where(F.size("templates") > 0), "templates")
+    named = pairs.select("line", "doc").join(templates.hint("merge"), "line").select("doc", F.explode("templates").alias("template"))
+    wide = materialize(named.distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template"), "recurring")
+    by_template = templates.select("line", F.explode("templates").alias("template")).join(wide.hint("merge"), "template", "left_semi").select("line")
+    return lines.where(F.col("docs") >= min_docs).select("line").unionByName(by_template).distinct()
+
+
+def drop_recurring(docs: DataFrame, *, depth: int = 3, similar: float = 0.7, min_docs: int = 6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped, text without recurring lines: one row for each row of ``docs``.
 
-    Lines end at \\n; blank lines always stay. Null texts stay null and have no lines. Rows that repeat both id and text count
-    as one document, and each is returned. Documents are told apart by a hash of id and text; other columns are ignored.
-    ``leaf_lines`` changes no result: where it is below ``DIRECT``, a leaf has its index from so many templates on.
+    Lines end at \\n; blank lines always stay. A line is its words, A-Z lowered. Null texts stay null and have no lines; empty
+    ones have one blank line. Rows that repeat both id and text count as one document, and each is returned. Documents are told
+    apart by a hash of id and text; other columns are ignored, whatever their names. An empty table gives no rows. A text is
+    worked on as a whole, in time that is linear in its length.
     """
     ship(docs.sparkSession)
     narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     keyed = narrow.withColumn("doc", F.xxhash64("doc_id", "text"))
+    found = materialize(occurrences(keyed, depth), "occurrences")
+    lines = materialize(recurring(found, keyed, depth=depth, similar=similar, min_docs=min_docs), "lines")
+    places = found.select("doc", "place", "line").join(lines.hint("merge"), "line", "left_semi")
+    gone = materialize(places.groupBy("doc").agg(F.collect_set("place").alias("gone")), "gone")
+    rows = keyed.join(gone.hint("merge"), "doc", "left").select("doc_id", "gone", "text")  # grows with the corpus: never broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text", PIECE):
-            owner, place, leaf, first, _, full = parse_lines(piece.column(1), depth)
-            some = np.diff(first) > 0
-            doc = piece.column(0).to_numpy()[owner[some]]
-            yield pa.record_batch([pa.array(x) for x in (doc, place[some].astype(np.int32), leaf[some], line_hashes(first, full)[some])], ["doc", "place", "leaf", "line"])
-
-    found = materialize(keyed.select("doc", "text").mapInArrow(run, "doc bigint, place int, leaf bigint, line bigint"), "occurrences")
-    by_line = materialize(templates(found, keyed, depth=depth, similar=similar, min_docs=min_docs, leaf_lines=leaf_lines), "templates")
-    named = found.select("doc", "place", "line").join(by_line, "line", "left").select("doc", "place", F.coalesce("template", "line").alias("template"))
-    named = materialize(named, "named")
-    recurring = named.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
-    gone = named.join(recurring, "template", "left_semi").groupBy("doc").agg(F.collect_set("place").alias("gone"))
-    rows = keyed.join(gone.hint("merge"), "doc", "left")  # grows with the corpus: never broadcast
-    parts = F.split("text", "\n", -1)
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("bigint")
-    return rows.select("doc_id", n_lines.alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("bigint").alias("n_dropped"), kept.alias("text"))
+            texts, gone_ = piece.column(2), piece.column(1)
+            n_lines = pc.if_else(pc.is_null(texts), 0, pc.add(pc.fill_null(pc.count_substring(texts, "\n"), 0), 1)).cast(pa.int64())
+            n_gone = pc.fill_null(pc.list_value_length(gone_), 0).cast(pa.int64())
+            some = np.flatnonzero(n_gone.to_numpy() > 0)
+            if len(some):
+                whole = texts.to_pylist()
+                for i, drop in zip(some.tolist(), gone_.take(pa.array(some)).to_pylist(), strict=True):
+                    out = set(drop)
+                    whole[i] = "\n".join(x for k, x in enumerate(whole[i].split("\n")) if k not in out)
+                texts = pa.array(whole, pa.string())
+            yield pa.record_batch([piece.column(0), n_lines, n_gone, texts], ["doc_id", "n_lines", "n_dropped", "text"])
+
+    return rows.mapInArrow(run, "doc_id bigint, n_lines bigint, n_dropped bigint, text string")

@@ -110,7 +110,7 @@ def rounds_of(sample: np.ndarray, rows: int, k: int) -> list[float | None]:
     reached = -np.partition(-product, rank - 1, axis=1)[:, rank - 1]
     norm = float(np.linalg.norm(sample, axis=1).max())
     out: list[float | None] = [float(np.quantile(reached, 0.2)), float(np.quantile(reached, 0.02))]
-    while (spread := 1.6 * (2 - 2 * out[-1] / norm)) < 3.5:
+    while (spread := 1.6 * max(2 - 2 * out[-1] / norm, 0.05)) < 3.5:
         out.append(norm * (1 - spread / 2))
     return [*sorted(set(out), reverse=True), None]
 

@@ -2,7 +2,6 @@
 
 import collections
 import hashlib
-import math
 import random
 import re
 import string
@@ -13,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hexavane.llm import contamination, counts, extract, licences, lines, mixing, near, neighbours, packing, queries, tokens, toxicity, words
+from hexavane.llm import contamination, counts, extract, licences, mixing, near, packing, queries, tokens, toxicity, words
 from hexavane.llm.components import components
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -282,31 +281,6 @@ def test_licence_texts_and_tags(spark):
     assert {n: got[f"whole/{n}/x"] for n in full} == {n: (n, "file") for n in full}
 
 
-# -- 8
-@pytest.mark.parametrize("same", [False, True])
-def test_nearest(spark, same):
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(900, 16)).astype(np.float32) * rng.uniform(0.2, 3, (900, 1)).astype(np.float32)
-    if same:
-        x[200:600] = x[200]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5, x[5].tolist()), (2000, None), (2001, [0.0] * 16), (2002, [math.nan] * 16), (2003, [math.inf] * 16), (2004, [1.0]), (None, x[1].tolist()), (2005, [None] * 16), (2006, [])]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
-    got = collections.defaultdict(list)
-    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=20).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    wide, right = x.astype(float), 0
-    assert set(got) == set(range(0, 900, 20))
-    for q, found in got.items():
-        score = neighbours.inner(wide, wide[q])
-        best = [i for i in np.lexsort((np.arange(900), -score)).tolist() if i != q][:20]
-        right += len({i for i, _ in found} & set(best))
-        assert len(found) == 20 and all(score[i] == s for i, s in found) and found == sorted(found, key=lambda t: (-t[1], t[0]))
-    assert right >= 0.9 * 20 * len(got)
-    assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
-    few = {r["query_id"]: r["vec_id"] for r in neighbours.nearest(df.where("vec_id IN (0, 1)"), F.col("vec_id") == 0).collect()}
-    assert few == {0: 1}
-
-
 # -- 9
 def plain_targets(sizes):
     names = sorted([s for s in sizes if s is not None]) + [None] * (None in sizes)
@@ -360,54 +334,6 @@ def test_pivot():
     assert sum(mixing.pivot(0.9, 0.4, (i + 0.5) / 1000)[0] for i in range(1000)) / 1000 == pytest.approx(0.9, abs=0.002)
 
 
-# -- 10
-def test_line_dedup(spark, docs, nothing):
-    rows = [(i, f"own words number{i} of document alpha beta\nposted by user u{i} on day {i} in the forum\nShare this page\n\nclosing text {'abcdefghijklmnop'[i]} here now") for i in range(10)]
-    rows += [(50, "Share this page"), (51, None), (52, ""), (None, "Share this page\nkeep me"), (50, "Share this page")]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for leaf_lines in (20_000, 3):
-        got = lines.drop_recurring(df, min_docs=6, leaf_lines=leaf_lines).collect()
-        by = {(r["doc_id"]): r for r in got}
-        assert len(got) == len(rows)
-        assert by[3]["n_lines"] == 5 and "Share" not in by[3]["text"] and "posted" not in by[3]["text"] and "\n\n" not in by[3]["text"][:1]
-        assert by[50]["text"] == "" and by[50]["n_dropped"] == 1 and by[51]["text"] is None and by[51]["n_lines"] == 0 and by[52]["text"] == ""
-        assert by[None]["text"] == "keep me"
-    assert lines.drop_recurring(df, min_docs=100).where("n_dropped > 0").count() == 0
-    assert lines.drop_recurring(docs).count() == docs.count() and lines.drop_recurring(nothing).count() == 0
-
-
-def plain_leaf(rows, similar):
-    """Templates by a scan of all of them."""
-    made, out = [], []
-    for name, row in rows:
-        best = max(range(len(made)), key=lambda i: (sum(a == b for a, b in zip(made[i][1], row, strict=True)), -i), default=None)
-        if best is not None and sum(a == b for a, b in zip(made[best][1], row, strict=True)) >= similar * len(row):
-            made[best][1][:] = [a if a == b else 0 for a, b in zip(made[best][1], row, strict=True)]
-            out.append(made[best][0])
-        else:
-            made.append((name, list(row)))
-            out.append(name)
-    return out
-
-
-@pytest.mark.parametrize("length,similar", [(4, 0.7), (5, 0.7), (10, 0.7), (12, 0.7), (12, 1.0), (9, 0.5)])
-def test_large_leaf(length, similar):
-    rng = random.Random(length)
-    base = [[1, 2, 3] + [rng.randint(0, 30) for _ in range(length - 3)] for _ in range(40)]
-    rows = [(k, [x if i < 3 or rng.random() < 0.75 else rng.randint(0, 30) for i, x in enumerate(rng.choice(base))]) for k in range(900)]
-    leaf = lines.Leaf(length, 3, similar, 5)
-    assert [leaf.place(np.array(r, np.uint16), k) for k, r in rows] == plain_leaf(rows, similar)
-
-
-def test_line_dedup_of_any_size(spark):
-    rng = random.Random(1)
-    base = [[f"{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(9)] for _ in range(60)]
-    made = ["one two three " + " ".join(w if rng.random() < 0.7 else chr(97 + rng.randrange(26)) + "zz" for w in rng.choice(base)) for _ in range(1500)]
-    df = spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string")
-    outcomes = [sorted(map(tuple, lines.drop_recurring(df, leaf_lines=n).collect())) for n in (20_000, 500, 40)]
-    assert outcomes[0] == outcomes[1] == outcomes[2] and 0 < sum(r[2] for r in outcomes[0]) < 1500
-
-
 # -- queries and pipeline
 def test_digest(spark):
     got = {r["doc_id"]: r["items_sha256"] for r in queries.op1_decontamination(spark, SF).where("n_items = 0").limit(1).collect()}
