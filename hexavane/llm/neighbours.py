@@ -86,7 +86,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def landmarks_of(sample: np.ndarray, count: int) -> np.ndarray:
-    """Directions around which the sample gathers; they only order the index."""
+    """Directions around which the sample gathers, each followed by its nearest of the rest; they only order the index."""
     points = unit(sample)
     at = points[np.linspace(0, len(points) - 1, min(count, len(points))).astype(int)]
     for _ in range(5):
@@ -95,7 +95,10 @@ def landmarks_of(sample: np.ndarray, count: int) -> np.ndarray:
         np.add.at(sums, near, points)
         some = np.linalg.norm(sums, axis=1) > 1e-9
         at[some] = unit(sums[some])
-    return at
+    chain, left = [0], list(range(1, len(at)))
+    while left:
+        chain.append(left.pop(int((at[left] @ at[chain[-1]]).argmax())))
+    return at[chain]
 
 
 def rounds_of(sample: np.ndarray, rows: int, k: int) -> list[float | None]:
