@@ -80,7 +80,7 @@ def test_candidates_are_few(spark):
 def test_segments_are_ruled_out(spark):
     """Vectors around six far points: a block of queries meets few segments, and no neighbour is lost by it."""
     rng = np.random.default_rng(6)
-    x = N.unit(N.unit(rng.normal(size=(6, 32)))[rng.integers(0, 6, 12000)] + 0.05 * rng.normal(size=(12000, 32)))
+    x = N.unit(N.unit(rng.normal(size=(6, 32)))[rng.integers(0, 6, 12000)] + 0.03 * rng.normal(size=(12000, 32)))
     plan, segments, blocks, count, t = opened(spark, x)
     met = N.meetings(segments, blocks, count, plan, t).count()
     assert 0 < met < 0.5 * count * segments.count()
