@@ -3,12 +3,14 @@
 Two small collections of band keys are computed, ``tables`` keys of ``rows`` minhashes each on the left and on the right.
 A table key is a pair of one left and one right key, so 2 * tables * rows minhashes stand for tables ** 2 tables of
 2 * rows minhashes. Two sets of similarity s share a table key with probability (1 - (1 - s ** rows) ** tables) ** 2:
-99.998 % at s = 0.8 with 16 keys of 3.
-
-Texts with equal sets are collapsed first. Documents that share a table key are tied to the key's smallest member, never to
-each other; the components of these ties hold every pair that shares a key. Inside a component all links are found exactly
-on the full sets, by a prefix filter. A component beyond ``block_shingles`` is cut into blocks and each pair of blocks is
-one unit of work that returns a spanning forest, so no task holds an unbounded group and no link is lost.
+99.995 % at s = 0.8 with 20 keys of 4, and 53 %, 16 % and 2 % at 0.5, 0.4 and 0.3.
+
+Texts with equal sets are collapsed first, and table keys of the same members count once. Nothing is joined on a shared key
+alone. Each text is compared with one hub, the smallest member it shares a key with, on the full sets; what is confirmed is
+closed to classes. Of the keys, only those whose members lie in more than one class are gone through once more: members of
+different classes are compared, by a prefix filter and on the full sets, keys with the same classes in one go. Work that
+exceeds ``block_shingles`` is cut into blocks, and pairs of blocks into units, so no task holds an unbounded group and no link
+is lost. Tables that are joined by a key that many rows may have are written before, so that Spark can split that key.
 """
 
 from __future__ import annotations
@@ -53,39 +55,95 @@ def band_keys(shingles: np.ndarray, tables: int, rows: int, xor: np.ndarray, tim
     return out.view(np.int64)
 
 
-def sketches(docs: DataFrame, *, width: int = 5, tables: int = 16, rows: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, fp (fingerprint of the set), keys. Sets of no shingle have neither fp nor keys."""
+def sketches(docs: DataFrame, *, width: int = 5, tables: int = 20, rows: int = 4, doc_id: str = "doc_id", text: str = "text", order: str | None = None) -> DataFrame:
+    """doc_id, place (the value of ``order``), n_shingles, fp (fingerprint of the set), keys. Sets of no shingle have neither fp
+    nor keys."""
     xor, times = _functions(2 * tables * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text", PIECE):
             sizes, prints, keys = [], [], []
-            for s in shingle_sets(words_of(piece.column(1), SPACED), width):
+            for s in shingle_sets(words_of(piece.column(2), SPACED), width):
                 sizes.append(len(s))
                 prints.append(fingerprint(s) if len(s) else None)
                 keys.append(band_keys(s, tables, rows, xor, times) if len(s) else None)
-            yield pa.record_batch([piece.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "fp", "keys"])
+            arrays = [piece.column(0), piece.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.record_batch(arrays, ["doc_id", "place", "n_shingles", "fp", "keys"])
 
-    narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return narrow.mapInArrow(run, "doc_id bigint, n_shingles bigint, fp bigint, keys array<bigint>")
+    narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(order or doc_id).cast("bigint").alias("place"), F.col(text).alias("text"))
+    return narrow.mapInArrow(run, "doc_id bigint, place bigint, n_shingles bigint, fp bigint, keys array<bigint>")
 
 
-def ties(nodes: DataFrame, tables: int) -> DataFrame:
-    """(u, v): each node with the smallest other node under one of its table keys.
+def shared_keys(nodes: DataFrame, tables: int) -> DataFrame:
+    """key, fp, n, hub, hub_n, size: the members of each table key that two nodes or more have, its smallest member as hub, and
+    how many they are. Of keys with the same members one is kept.
 
     A pair shares a table key exactly if it shares a left and a right key, so keys that only one node has are dropped
     before pairs are formed: almost all nodes end here.
     """
-    keys = nodes.select("fp", F.posexplode("keys").alias("place", "key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    kept = keys.join(shared, "key", "left_semi").groupBy("fp").agg(
-        F.collect_list(F.when(F.col("place") < tables, F.col("key"))).alias("left"),
-        F.collect_list(F.when(F.col("place") >= tables, F.col("key"))).alias("right"),
+    keys = nodes.select("fp", "n_shingles", F.posexplode("keys").alias("side", "key"))
+    shared = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    kept = keys.join(shared.hint("merge"), "key", "left_semi").groupBy("fp").agg(
+        F.first("n_shingles").alias("n"),
+        F.collect_list(F.when(F.col("side") < tables, F.col("key"))).alias("left"),
+        F.collect_list(F.when(F.col("side") >= tables, F.col("key"))).alias("right"),
     )
+    kept = materialize(kept.where((F.size("left") > 0) & (F.size("right") > 0)), "kept")
     pairs = F.flatten(F.transform("left", lambda a: F.transform("right", lambda b: F.xxhash64(a, b))))
-    table_keys = kept.where((F.size("left") > 0) & (F.size("right") > 0)).select("fp", F.explode(pairs).alias("key"))
-    hubs = table_keys.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    return table_keys.join(hubs, "key").where("fp != hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
+    table_keys = kept.select("fp", "n", F.explode(pairs).alias("key"))
+    first = F.min(F.struct("fp", "n")).alias("first")
+    buckets = table_keys.groupBy("key").agg(first, F.count("*").alias("size"), F.bit_xor(F.xxhash64("fp")).alias("mark")).where("size > 1")
+    buckets = buckets.groupBy(F.col("first.fp").alias("hub"), "size", "mark").agg(F.min("key").alias("key"), F.first("first.n").alias("hub_n"))
+    buckets = materialize(buckets.select("key", "hub", "hub_n", "size"), "buckets")
+    return table_keys.join(buckets.hint("merge"), "key").select("key", "fp", "n", "hub", "hub_n", "size")
+
+
+def set_table(docs: DataFrame, wanted: DataFrame, *, width: int, doc_id: str, text: str) -> DataFrame:
+    """fp, n, shingles for the nodes ``wanted`` (fp, rep), from their texts."""
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("rep"), F.col(text).alias("text")).join(wanted.hint("merge"), "rep").select("fp", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "text", PIECE):
+            got = list(shingle_sets(words_of(piece.column(1), SPACED), width))
+            same = pa.array([len(s) > 0 and fingerprint(s) == want for s, want in zip(got, piece.column(0).to_pylist(), strict=True)])
+            yield pa.record_batch([piece.column(0), pa.array([len(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], ["fp", "n", "shingles"]).filter(same)
+
+    return texts.mapInArrow(sets, "fp bigint, n bigint, shingles binary").dropDuplicates(["fp"])
+
+
+def alike(both: int, one: int, two: int, percent: int) -> bool:
+    return 100 * both >= percent * (one + two - both)
+
+
+def hub_links(members: DataFrame, sets: DataFrame, *, percent: int, block_shingles: int) -> DataFrame:
+    """(u, v): each node with its one hub, if the full sets are alike. A hub's set goes to as many units as its members fill,
+    and stays while they stream past."""
+    one = members.where("fp != hub").groupBy("fp").agg(F.first("n").alias("n"), F.min(F.struct("hub", "hub_n")).alias("h"))
+    fits = 100 * F.least("n", "h.hub_n") >= percent * F.greatest("n", "h.hub_n")
+    one = materialize(one.where(fits).select("fp", "n", F.col("h.hub").alias("hub")), "pairs")
+    hubs = materialize(one.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).cast("int").alias("units")), "hubs")
+    rows = one.join(hubs.hint("merge"), "hub").select("hub", F.pmod(F.xxhash64("fp", F.lit(11)), "units").cast("int").alias("unit"), F.lit(1).alias("role"), "fp")
+    rows = rows.unionByName(hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), F.lit(0).alias("role"), F.col("hub").alias("fp")))
+    work = rows.join(sets.select("fp", "shingles").hint("merge"), "fp").select("hub", "unit", "role", "fp", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, None
+        for batch in batches:
+            u, v = [], []
+            for hub, role, fp, data in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4)), strict=True):
+                s = np.frombuffer(data, np.uint64)
+                if role == 0:
+                    now, own = hub, s
+                    continue
+                if hub != now:
+                    raise ValueError("a member came without its hub")
+                at = np.minimum(np.searchsorted(own, s), len(own) - 1)
+                if alike(int((own[at] == s).sum()), len(own), len(s), percent):
+                    u.append(fp)
+                    v.append(hub)
+            yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return work.repartition("hub", "unit").sortWithinPartitions("hub", "unit", "role").mapInArrow(run, "u bigint, v bigint")
 
 
 class Forest:
@@ -107,8 +165,9 @@ class Forest:
         return True
 
 
-def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of all pairs with 100 * intersection >= percent * union.
+def exact_links(sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of all pairs with 100 * intersection >= percent * union; ``known`` gives the same number to sets that
+    are in one tree already.
 
     Prefix filter: with tokens in one order, rarest first, two sets of similarity t share a token among the first
     n - ceil(t * n) + 1 of each. Candidates in one tree already are passed over; the rest is counted on the whole sets.
@@ -139,6 +198,9 @@ def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     order = np.argsort(item_all, kind="stable")
     item_all, owner_all = item_all[order], owner_all[order]
     mark, forest, links = np.zeros(len(token), bool), Forest(n), []
+    at: dict[int, int] = {}
+    for i, k in enumerate(known or ()):
+        forest.join(at.setdefault(k, i), i)
     for i in range(n):
         p = prefixes[i]
         if not len(p):
@@ -150,8 +212,8 @@ def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         if not len(near):
             continue
         mark[codes[begin[i] : begin[i + 1]]] = True
-        for at in range(0, len(near), 256):
-            part = near[at : at + 256]
+        for a in range(0, len(near), 256):
+            part = near[a : a + 256]
             part = part[forest.label[part] != forest.label[i]]
             if not len(part):
                 continue
@@ -164,55 +226,105 @@ def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, *, width: int, percent: int, block_shingles: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(u, v, single): exact links inside clusters as spanning forests; single: the cluster was one block."""
-    members = nodes.select("fp", "rep", "n_shingles").join(clusters, F.col("fp") == F.col("node")).drop("node")
-    blocks = members.groupBy("label").agg(F.ceil(F.sum("n_shingles") / F.lit(block_shingles)).cast("int").alias("blocks"))
-    members = members.join(blocks, "label").select("fp", "rep", "label", "blocks", F.pmod(F.xxhash64("fp", F.lit(11)), F.col("blocks")).cast("int").alias("block"))
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("rep"), F.col(text).alias("text")).join(members, "rep")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text", PIECE):
-            words = words_of(piece.column(piece.schema.get_field_index("text")), SPACED)
-            got = list(shingle_sets(words, width))
-            same = pa.array([len(s) > 0 and fingerprint(s) == want for s, want in zip(got, piece.column(piece.schema.get_field_index("fp")).to_pylist(), strict=True)])
-            out = piece.select(["fp", "label", "blocks", "block"]).append_column("shingles", pa.array([s.tobytes() for s in got], pa.binary()))
-            yield out.filter(same)
-
-    with_sets = texts.mapInArrow(sets, "fp bigint, label bigint, blocks int, block int, shingles binary")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    work = with_sets.select("fp", "label", "blocks", "block", "shingles", F.explode(every).alias("other"))
-    work = work.select("fp", "label", "blocks", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "shingles")
-
-    def link(keys: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        found = dict(zip(table["fp"].to_pylist(), table["shingles"].to_pylist(), strict=True))
-        prints = sorted(found)
-        links = exact_links([np.frombuffer(found[p], np.uint64) for p in prints], percent)
+def open_groups(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(grp, fp, label, n): members of the keys that hold more than one class, keys with the same classes as one group. Keys of
+    two members that were compared already are left out."""
+    named = members.join(classes.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
+    own = members.where("fp != hub").groupBy("fp").agg(F.min("hub").alias("met"))
+    named = named.join(own.hint("merge"), "fp", "left").select("key", "fp", "n", "hub", "size", "met", F.coalesce("label", "fp").alias("label"))
+    named = materialize(named, "named")
+    open_ = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("size").alias("size"), F.max((F.col("fp") != F.col("hub")) & (F.col("met") == F.col("hub"))).alias("met"))
+    open_ = materialize(open_.where("a != b AND NOT (size = 2 AND met)").select("key"), "open")
+    named = materialize(named.join(open_.hint("merge"), "key", "left_semi").select("key", "fp", "n", "label"), "unsettled")
+    kinds = named.groupBy("key", "label").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("a"), F.bit_xor(F.xxhash64("label")).alias("x"))
+    kinds = materialize(kinds.select("key", F.xxhash64("c", "a", "x").alias("grp")), "kinds")
+    return named.join(kinds.hint("merge"), "key").groupBy("grp", "fp").agg(F.first("label").alias("label"), F.first("n").alias("n"))
+
+
+def class_links(groups: DataFrame, sets: DataFrame, *, percent: int, block_shingles: int) -> DataFrame:
+    """(u, v): classes (labels) that have a pair of alike members in a group. A class that fills half a block has blocks of
+    its own; smaller ones share blocks. All pairs of blocks of a group are units, but those of one class."""
+    half = max(1, block_shingles // 2)
+    by_class = groups.groupBy("grp", "label").agg(F.ceil(F.sum("n") / F.lit(half)).cast("int").alias("parts"), F.sum("n").alias("total"))
+    alone = F.col("parts") > 1
+    rest = by_class.groupBy("grp").agg(F.greatest(F.ceil(F.sum(F.when(~alone, F.col("total")).otherwise(0)) / F.lit(half)), F.lit(1)).cast("int").alias("shared"))
+    plan = materialize(by_class.join(rest, "grp").select("grp", "label", "parts", "shared"), "classes")
+    place = F.when(alone, F.xxhash64("label", F.pmod(F.xxhash64("fp", F.lit(13)), "parts"))).otherwise(F.pmod(F.xxhash64("label", F.lit(17)), "shared"))
+    dealt = groups.join(plan.hint("merge"), ["grp", "label"]).select("grp", "fp", "label", place.alias("block"), F.when(alone, F.col("label")).alias("own"))
+    dealt = materialize(dealt, "dealt")
+    blocks = materialize(dealt.groupBy("grp", "block").agg(F.first("own").alias("own")), "blocks")
+    other = blocks.select("grp", F.col("block").alias("two"), F.col("own").alias("own2"))
+    units = blocks.withColumnRenamed("block", "one").join(other, "grp").where("one <= two AND (own IS NULL OR own2 IS NULL OR own != own2)").select("grp", "one", "two")
+    ends = units.select("grp", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"), "one", "two")
+    ends = materialize(ends, "units")
+    work = dealt.join(ends.hint("merge"), ["grp", "block"]).select("grp", "one", "two", "label", "fp")
+    work = work.join(sets.select("fp", "shingles").hint("merge"), "fp").select("grp", "one", "two", "label", "fp", "shingles")
+
+    def link(_: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        prints, labels, data = (table[c].to_pylist() for c in ("fp", "label", "shingles"))
+        order = sorted(range(len(prints)), key=prints.__getitem__)
+        labels = [labels[i] for i in order]
+        links = exact_links([np.frombuffer(data[i], np.uint64) for i in order], percent, labels)
         if links:
-            yield pa.record_batch([pa.array([prints[i] for i, _ in links], pa.int64()), pa.array([prints[j] for _, j in links], pa.int64()), pa.array([keys[1] == 1] * len(links))], ["u", "v", "single"])
+            yield pa.record_batch([pa.array([labels[i] for i, _ in links], pa.int64()), pa.array([labels[j] for _, j in links], pa.int64())], ["u", "v"])
 
-    return sorted_runs(work, ["label", "blocks", "one", "two"], link, "u bigint, v bigint, single boolean")
+    return sorted_runs(work, ["grp", "one", "two"], link, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, tables: int = 16, rows: int = 3, block_shingles: int = 400_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def classes_of(docs: DataFrame, sk: DataFrame, *, width: int, percent: int, tables: int, block_shingles: int, doc_id: str, text: str) -> DataFrame:
+    """(fp, label): the class of each set that is linked with another one."""
+    nodes = materialize(sk.where("doc_id IS NOT NULL AND fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")), "nodes")
+    members = materialize(shared_keys(nodes, tables), "members")
+    wanted = materialize(nodes.select("fp", "rep").join(members.select("fp").distinct(), "fp", "left_semi"), "wanted")
+    sets = materialize(set_table(docs, wanted, width=width, doc_id=doc_id, text=text), "sets")
+    first = materialize(components(hub_links(members, sets, percent=percent, block_shingles=block_shingles)), "classes")
+    groups = materialize(open_groups(members, first), "groups")
+    second = materialize(components(class_links(groups, sets, percent=percent, block_shingles=block_shingles)), "classes")
+    second = second.select(F.col("node").alias("label"), F.col("label").alias("whole"))
+    # a class of one text has no row in the first table
+    single = second.join(first.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("fp"), F.col("whole").alias("label"))
+    joined = first.join(second.hint("merge"), "label", "left").select(F.col("node").alias("fp"), F.coalesce("whole", "label").alias("label"))
+    return joined.unionByName(single)
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, tables: int = 20, rows: int = 4, block_shingles: int = 400_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``.
 
     A document's set: its distinct shingles of ``width`` words (runs without ASCII white space, A-Z lowered), or its whole
     word sequence if shorter. Two documents link if 100 * intersection >= percent * union. component_id is the smallest
     doc_id that links reach. Null and wordless texts link with nothing: their own component, kept. Rows without a doc_id
-    take no part: component null, kept. Rows that repeat a doc_id share its component. Other columns are ignored.
+    take no part: component null, kept. Rows that repeat a doc_id share its component. An empty table gives no rows; other
+    columns are ignored, whatever their names. A long text's set is one row of 8 bytes a shingle.
     """
     ship(docs.sparkSession)
     sk = materialize(sketches(docs, width=width, tables=tables, rows=rows, doc_id=doc_id, text=text), "sketches")
-    usable = sk.where("doc_id IS NOT NULL AND fp IS NOT NULL")
-    nodes = materialize(usable.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")), "nodes")
-    clusters = materialize(components(ties(nodes, tables)), "clusters")
-    links = materialize(confirmed(docs, nodes, clusters, width=width, percent=percent, block_shingles=block_shingles, doc_id=doc_id, text=text), "links")
-    labels = components(links.select("u", "v"))
-    named = labels.join(nodes.select(F.col("fp").alias("node"), "rep"), "node")
-    smallest = named.groupBy("label").agg(F.min("rep").alias("component"))
-    by_print = named.join(smallest, "label").select(F.col("node").alias("fp"), "component")
-    least = nodes.select("fp", "rep").join(by_print, "fp", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = sk.select("doc_id", "n_shingles", "fp").join(least, "fp", "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("bigint")).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    named = _named(docs, sk, width=width, percent=percent, tables=tables, block_shingles=block_shingles, doc_id=doc_id, text=text)
+    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("bigint")).otherwise(F.coalesce("first.doc_id", "doc_id"))
+    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _named(docs: DataFrame, sk: DataFrame, **how) -> DataFrame:
+    """Rows of ``sk`` with ``first``, the first of their class by place, then by doc_id."""
+    order = F.min(F.struct(F.col("place").isNull().alias("none"), "place", "doc_id"))
+    firsts = materialize(sk.where("doc_id IS NOT NULL AND fp IS NOT NULL").groupBy("fp").agg(order.alias("first")), "firsts")
+    classes = materialize(classes_of(docs, sk, **how), "classes")
+    by_class = materialize(classes.join(firsts.hint("merge"), "fp").groupBy("label").agg(F.min("first").alias("whole")), "wholes")
+    linked = classes.join(by_class.hint("merge"), "label").select("fp", "whole")
+    firsts = materialize(firsts.join(linked.hint("merge"), "fp", "left").select("fp", F.coalesce("whole", "first").alias("first")), "firsts")
+    return sk.select("doc_id", "n_shingles", "fp").join(firsts.hint("merge"), "fp", "left")
+
+
+def one_of_each(docs: DataFrame, *, width: int = 5, percent: int = 80, tables: int = 20, rows: int = 4, block_shingles: int = 400_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without near copies: of each class of linked texts the row of the smallest doc_id
+    stays, nulls last, of equal ids the one of the smallest hash of the row.
+
+    Rows count by what they hold, not by id: different texts under one id are told apart, and rows without an id take part.
+    Rows that are equal in all columns are one. Other rows without words all stay. An empty table gives no rows.
+    """
+    ship(docs.sparkSession)
+    key = "_" + max(docs.columns, key=len) + "_row"  # longer than any name there is
+    keyed = docs.withColumn(key, F.xxhash64(*docs.columns))
+    sk = materialize(sketches(keyed, width=width, tables=tables, rows=rows, doc_id=key, text=text, order=doc_id), "sketches")
+    named = _named(keyed, sk, width=width, percent=percent, tables=tables, block_shingles=block_shingles, doc_id=key, text=text)
+    stay = materialize(named.where("fp IS NULL OR first.doc_id = doc_id").select(F.col("doc_id").alias(key)).distinct(), "stay")
+    return keyed.join(stay.hint("merge"), key, "left_semi").dropDuplicates([key]).select(*docs.columns)
