@@ -7,7 +7,8 @@ so a term in a third of all rows is spread over all of them and no posting is ev
 
 A phrase is looked up in a segment by intersecting its terms' position lists, each shifted back by the term's place, from
 the rarest term on; a phrase with a term that the segment lacks ends at once. Proximity search widens the shifted lists.
-Patterns travel to the segments in blocks of bounded bytes.
+The index holds every token's postings, whatever is looked up in it. Test phrases travel to the segments in blocks of at most
+``block_windows``, and a block's matches are written before the next one is sent, so neither driver nor tasks hold more.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,29 +46,18 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(gaps)
 
 
-def build_index(docs: DataFrame, *, vocabulary: np.ndarray | None = None, segment_bytes: int = 4 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Segments of ``docs``. ``vocabulary``: sorted term hashes worth keeping, when the test terms are known beforehand;
-    None keeps every token's posting."""
+def build_index(docs: DataFrame, *, segment_bytes: int = 4 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Segments of ``docs`` with the postings of all of their tokens."""
     ship(docs.sparkSession)
-    kept = None if vocabulary is None else docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text", segment_bytes):
             words = words_of(piece.column(1), ALNUM)
-            terms, at = words.hashes, np.arange(len(words.hashes))
-            if kept is not None:
-                have = kept.value
-                slot = np.searchsorted(have, terms)
-                slot[slot == len(have)] = 0
-                hit = have[slot] == terms if len(have) else np.zeros(len(terms), bool)
-                at, code, names = at[hit], slot[hit], have
-                present, code = np.unique(code, return_inverse=True)
-                names = names[present]
-            else:
-                names, code = np.unique(terms, return_inverse=True)
-            order = np.argsort(code, kind="stable")
-            begin = np.searchsorted(code[order], np.arange(len(names) + 1))
-            one = [[uuid.uuid4().hex], [piece.column(0).to_pylist()], [words.first.tolist()], [names.astype(np.uint64).tobytes()], [begin.astype(np.int32).tobytes()], [_pack(at[order])]]
+            order = np.argsort(words.hashes, kind="stable").astype(np.int32)
+            sorted_ = words.hashes[order]
+            begin = np.flatnonzero(np.concatenate([np.ones(min(len(sorted_), 1), bool), sorted_[1:] != sorted_[:-1]]))
+            ends = np.append(begin, len(sorted_)).astype(np.int32)
+            one = [[uuid.uuid4().hex], [piece.column(0).to_pylist()], [words.first.tolist()], [sorted_[begin].tobytes()], [ends.tobytes()], [_pack(order)]]
             kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
             yield pa.record_batch([pa.array(v, k) for v, k in zip(one, kinds, strict=True)], ["segment", "doc_ids", "first", "terms", "begin", "positions"])
 
@@ -127,53 +119,54 @@ class Segment:
 
 @dataclass
 class Patterns:
-    """Distinct phrases by length, and for each the numbers of the items that hold it."""
+    """Distinct phrases by length. Phrase p of length n is held by the items owners[n][0][a:b], a and b being owners[n][1][p]
+    and the next."""
 
-    item_ids: list
+    names: list[str]
     phrases: dict[int, np.ndarray]
-    items: dict[int, list[np.ndarray]]
+    owners: dict[int, tuple[np.ndarray, np.ndarray]]
 
-    def vocabulary(self) -> np.ndarray:
-        return np.unique(np.concatenate([p.ravel() for p in self.phrases.values()] or [np.zeros(0, np.uint64)]))
+    def items(self, n: int, p: int) -> np.ndarray:
+        who, begin = self.owners[n]
+        return who[begin[p] : begin[p + 1]]
 
 
-def patterns_of(ids: list, texts: list[str | None], window: int) -> Patterns:
-    """Windows of ``window`` words of each item; an item of fewer, but not none, is one window."""
-    words = words_of(pa.array(texts, pa.string()), ALNUM)
+def patterns_of(items: list[tuple[str, np.ndarray]], window: int) -> Patterns:
+    """Windows of ``window`` words of each item (name and word hashes); an item of fewer, but not none, is one window."""
     rows: dict[int, list[np.ndarray]] = {}
     owners: dict[int, list[np.ndarray]] = {}
-    for i in range(len(words)):
-        h = words.hashes[words.first[i] : words.first[i + 1]]
-        n = min(window, len(h))
-        if n:
+    for i, (_, h) in enumerate(items):
+        if n := min(window, len(h)):
             rows.setdefault(n, []).append(np.lib.stride_tricks.sliding_window_view(h, n))
-            owners.setdefault(n, []).append(np.full(len(h) - n + 1, i))
-    phrases, items = {}, {}
+            owners.setdefault(n, []).append(np.full(len(h) - n + 1, i, np.int32))
+    phrases, held = {}, {}
     for n, parts in rows.items():
         phrases[n], code = np.unique(np.concatenate(parts), axis=0, return_inverse=True)
-        who, code = np.concatenate(owners[n]), code.ravel()
-        order = np.argsort(code, kind="stable")
-        cut = np.searchsorted(code[order], np.arange(1, len(phrases[n])))
-        items[n] = [np.unique(x) for x in np.split(who[order], cut)]
-    return Patterns(ids, phrases, items)
-
-
-def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[tuple[list, list]]:
-    """Items, streamed to the driver in blocks of bounded bytes."""
-    ids, texts, held = [], [], 0
-    for r in items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("i IS NOT NULL").toLocalIterator():
-        ids.append(r["i"])
-        texts.append(r["t"])
-        held += len(r["t"] or "")
-        if held >= block_bytes:
-            yield ids, texts
-            ids, texts, held = [], [], 0
-    if ids:
-        yield ids, texts
+        pairs = np.unique(np.stack([code.ravel().astype(np.int32), np.concatenate(owners[n])], 1), axis=0)
+        held[n] = pairs[:, 1].copy(), np.searchsorted(pairs[:, 0], np.arange(len(phrases[n]) + 1))
+    return Patterns([name for name, _ in items], phrases, held)
+
+
+def pattern_blocks(items: DataFrame, window: int, *, item_id: str, text: str, block_windows: int) -> Iterator[Patterns]:
+    """Items, streamed to the driver, as blocks of patterns with ``block_windows`` windows at most. An item of more is cut into
+    stretches that share all but one word of a window."""
+    held, total = [], 0
+    known = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    for r in known.toLocalIterator():
+        h = words_of(pa.array([r["t"]], pa.string()), ALNUM).hashes
+        for at in range(0, max(1, len(h) - window + 1), block_windows):
+            part = h[at : at + block_windows + window - 1]
+            if held and total + len(part) > block_windows:
+                yield patterns_of(held, window)
+                held, total = [], 0
+            held.append((r["i"], part))
+            total += len(part)
+    if held:
+        yield patterns_of(held, window)
 
 
 def search_segment(seg: Segment, patterns: Patterns, slack: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(start positions, end positions, item numbers) of every phrase that occurs."""
+    """Start positions, end positions and item numbers of every phrase that occurs."""
     if not len(seg.terms):
         return
     for n, phrases in patterns.phrases.items():
@@ -182,20 +175,22 @@ def search_segment(seg: Segment, patterns: Patterns, slack: int = 0) -> Iterator
         for p in np.flatnonzero((seg.terms[slots] == phrases).all(axis=1)).tolist():
             found, ends = seg.phrase(slots[p], slack)
             if len(found):
-                yield found, ends, patterns.items[n][p]
+                yield found, ends, patterns.items(n, p)
 
 
-def matches(index: DataFrame, patterns: Patterns, *, slack: int = 0) -> DataFrame:
+MATCHES = "segment string, row int, doc_id bigint, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
+
+
+def matches(index: DataFrame, sent: Broadcast, *, slack: int = 0) -> DataFrame:
     """One row for each document of the index: segment and row (its place there), doc_id, n_words, spans (start and end word of
-    each stretch that phrases cover), items (numbers of the items found)."""
-    sent = index.sparkSession.sparkContext.broadcast(patterns)
+    each stretch that phrases cover), items (sorted names of the items found). ``sent``: Patterns, broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 yield _documents(Segment(row), sent.value, slack)
 
-    return index.mapInArrow(run, "segment string, row int, doc_id bigint, n_words bigint, spans array<struct<start:int,end:int>>, items array<int>")
+    return index.mapInArrow(run, MATCHES)
 
 
 def _documents(seg: Segment, patterns: Patterns, slack: int) -> pa.RecordBatch:
@@ -217,67 +212,42 @@ def _documents(seg: Segment, patterns: Patterns, slack: int) -> pa.RecordBatch:
         else:
             spans.append([])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    arrays = [pa.array([seg.name] * n_docs, pa.string()), pa.array(range(n_docs), pa.int32()), pa.array(seg.doc_ids, pa.int64()), pa.array(np.diff(seg.first), pa.int64()), pa.array(spans, kind), pa.array([sorted(x) for x in items], pa.list_(pa.int32()))]
+    arrays = [pa.array([seg.name] * n_docs, pa.string()), pa.array(range(n_docs), pa.int32()), pa.array(seg.doc_ids, pa.int64()), pa.array(np.diff(seg.first), pa.int64()), pa.array(spans, kind), pa.array([sorted({patterns.names[i] for i in x}) for x in items], pa.list_(pa.string()))]
     return pa.record_batch(arrays, ["segment", "row", "doc_id", "n_words", "spans", "items"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, slack: int = 0, block_bytes: int = 16 << 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, *, window: int = 10, slack: int = 0, block_windows: int = 1 << 17, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text"
+) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_hit, spans, n_items, items (ids as sorted strings), contaminated.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lowered. A word is hit if it lies in an occurrence of
     any window of ``window`` consecutive item words. Null or empty texts have no words and are clean; items without words
-    or without id match nothing; repeated items count once by id; rows that repeat a doc_id stay separate; other columns
-    are ignored. A benchmark beyond ``block_bytes`` of text is looked up block by block against one index of all tokens.
+    or without id match nothing; repeated items count once by id; rows that repeat a doc_id stay separate, rows without one are
+    judged as any other; an empty table gives no rows; other columns are ignored, whatever their names. A text longer than a
+    segment is a segment of its own.
     """
     spark = docs.sparkSession
-    blocks = _blocks(benchmark, item_id, item_text, block_bytes)
-    first = next(blocks, ([], []))
-    second = next(blocks, None)
-    patterns = patterns_of(*first, window)
-    segments = materialize(build_index(docs, vocabulary=patterns.vocabulary() if second is None else None, doc_id=doc_id, text=text), "segments")
+    segments = materialize(build_index(docs, doc_id=doc_id, text=text), "segments")
+    blocks = pattern_blocks(benchmark, window, item_id=item_id, text=item_text, block_windows=block_windows)
+    first, second = next(blocks, Patterns([], {}, {})), next(blocks, None)
     if second is None:
-        return _with_ids(matches(segments, patterns, slack=slack), patterns)
-    parts, block = [_numbered(segments, patterns, slack)], second
-    while block is not None:
-        parts.append(_numbered(segments, patterns_of(*block, window), slack))
-        block = next(blocks, None)
-    every = materialize(spark_union(parts), "matches")
+        return _counted(matches(segments, spark.sparkContext.broadcast(first), slack=slack))
+    parts = []
+    for block in chain([first, second], blocks):
+        sent = spark.sparkContext.broadcast(block)
+        parts.append(materialize(matches(segments, sent, slack=slack), "matches"))
+        sent.unpersist(blocking=True)
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
     merged = every.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return _counted(merged.withColumn("spans", F.array_sort("spans")))
 
 
-def spark_union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _numbered(segments: DataFrame, patterns: Patterns, slack: int) -> DataFrame:
-    """Matches of one block with item ids; segment and row name a document in every pass, as segments are written files."""
-    return _named(matches(segments, patterns, slack=slack), patterns)
-
-
-def _named(found: DataFrame, patterns: Patterns) -> DataFrame:
-    """Item numbers to ids as strings."""
-    sent = found.sparkSession.sparkContext.broadcast([str(i) for i in patterns.item_ids])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("items")
-            names = pa.array([sorted({sent.value[i] for i in x}) for x in batch.column(at).to_pylist()], pa.list_(pa.string()))
-            yield batch.set_column(at, "items", names)
-
-    return found.mapInArrow(run, "segment string, row int, doc_id bigint, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>")
-
-
 def _counted(found: DataFrame) -> DataFrame:
     """Covered words from spans that are sorted by start and may overlap."""
     step = lambda acc, s: F.struct((acc["n"] + F.greatest(s["end"] - F.greatest(s["start"], acc["to"]), F.lit(0))).cast("bigint").alias("n"), F.greatest(acc["to"], s["end"]).alias("to"))
     zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("to"))
     n_hit = F.aggregate("spans", zero, step, lambda acc: acc["n"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", F.size("items").cast("bigint").alias("n_items"), "items", (n_hit > 0).alias("contaminated"))
-
-
-def _with_ids(found: DataFrame, patterns: Patterns) -> DataFrame:
-    return _counted(_named(found, patterns))
