@@ -1,9 +1,11 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Each document has an expected number of copies, target / source_size; its whole part is certain, its fraction is rounded by
-the pivotal method: of two fractional documents, mass moves at random from one to the other until one is integral, so the
-sum never changes. Buckets of a source, ordered by falling size so that neighbours are alike and small ones remain, are worked through independently and
-leave at most one fractional document each; these meet, ``fan_in`` buckets at a time, in a tree up to one per source.
+the pivotal method: of two fractional documents, words move at random from one to the other until one is integral. What one
+gains in words the other loses, so the words that a source gives never change, and either fraction stays as it is on average.
+Buckets of a source, ordered by falling size so that the document left over is small, are worked through independently and
+leave at most one fractional document each; these meet, ``fan_in`` buckets at a time, in a tree up to one per source, whose
+rounding is all by which a source misses its target.
 """
 
 from __future__ import annotations
@@ -59,13 +61,12 @@ def targets(sized: DataFrame, *, most: int = MOST_COPIES) -> DataFrame:
     return settled.select("source", "source_size", "docs", "weight", target.alias("target"))
 
 
-def pivot(mass: float, next_mass: float, draw: float) -> tuple[float, float]:
-    """Move mass between two fractions so that one becomes 0 or 1; expectations stay. Returns both."""
-    both = mass + next_mass
-    if both < 1:
-        return (both, 0.0) if draw * both < mass else (0.0, both)
-    rest = both - 1
-    return (1.0, rest) if draw * (2 - both) < 1 - next_mass else (rest, 1.0)
+def pivot(one: float, two: float, size_one: float, size_two: float, draw: float) -> tuple[float, float]:
+    """Move words between two fractions so that one becomes 0 or 1; the sum of words stays, and so do expectations."""
+    up, down = min(1 - one, two * size_two / size_one), min(one, (1 - two) * size_two / size_one)
+    if draw * (up + down) < down:
+        return (1.0, max(0.0, two - up * size_one / size_two)) if up == 1 - one else (one + up, 0.0)
+    return (0.0, min(1.0, two + down * size_one / size_two)) if down == one else (one - down, 1.0)
 
 
 def _level(fractions: DataFrame, keys: list[str], order: list, last: bool) -> DataFrame:
@@ -74,7 +75,7 @@ def _level(fractions: DataFrame, keys: list[str], order: list, last: bool) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
-        mass, now = 0.0, None
+        mass, now, words = 0.0, None, 1  # words: size of the open row
 
         def close() -> pa.RecordBatch:
             draw = held.column(held.schema.get_field_index("draw"))[0].as_py()
@@ -87,6 +88,7 @@ def _level(fractions: DataFrame, keys: list[str], order: list, last: bool) -> Da
             names = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys]
             got = batch.column(batch.schema.get_field_index("fraction")).to_pylist()
             draws = batch.column(batch.schema.get_field_index("draw")).to_pylist()
+            size = [max(x, 1) for x in batch.column(batch.schema.get_field_index("size")).to_pylist()]
             place, done = None, list(got)  # place: row of this batch that holds the open mass
             for i, (f, draw) in enumerate(zip(got, draws, strict=True)):
                 key = tuple(n[i] for n in names)
@@ -100,9 +102,9 @@ def _level(fractions: DataFrame, keys: list[str], order: list, last: bool) -> Da
                 if not 0 < f < 1:
                     continue
                 if held is None and place is None:
-                    place, mass = i, f
+                    place, mass, words = i, f, size[i]
                     continue
-                old, new = pivot(mass, f, draw)
+                old, new = pivot(mass, f, words, size[i], draw)
                 if 0 < old < 1:  # the older row stays open
                     mass, done[i] = old, new
                     continue
@@ -111,7 +113,7 @@ def _level(fractions: DataFrame, keys: list[str], order: list, last: bool) -> Da
                     held = None
                 else:
                     done[place] = old
-                place, mass = (i, new) if 0 < new < 1 else (None, 0.0)
+                place, mass, words = (i, new, size[i]) if 0 < new < 1 else (None, 0.0, 1)
                 done[i] = new
             if place is not None:
                 yield _set(batch.slice(0, place), done[:place])
@@ -131,34 +133,41 @@ def _set(batch: pa.RecordBatch, fraction: list[float]) -> pa.RecordBatch:
     return batch.set_column(at, "fraction", pa.array(fraction, pa.float64()))
 
 
-def mix(sized: DataFrame, *, most: int = MOST_COPIES, bucket_rows: int = 4096, fan_in: int = 16, seed: int = 17, per_source: DataFrame | None = None) -> DataFrame:
+def mix(
+    sized: DataFrame, *, most: int = MOST_COPIES, bucket_rows: int = 4096, fan_in: int = 16, seed: int = 17, per_source: DataFrame | None = None
+) -> DataFrame:
     """All columns of ``sized`` (the result of ``sizes``) with source_size, target, copies and taken, one row each.
 
-    copies is 0 to ``most``; taken = copies * size. Draws come from a hash of doc_id and seed and buckets from counts and
-    hashes, so the result hangs neither on partitions nor on the run. Null sources are one source, last in order. Documents
-    without words count as any other and take 0 words; a source of no words takes none. Repeated rows are rounded one by one.
+    copies is 0 to ``most``; taken = copies * size. Draws come from a hash of doc_id, row and seed, and buckets from counts and
+    hashes, so the result hangs neither on partitions nor on the run; rows of equal size and id are told apart by their hash,
+    if they are carried along, and else are all the same. Null sources are one source, last in order. Documents without words
+    are rounded as if they had one and take 0 words; a source of no words takes none. Repeated rows are rounded one by one;
+    rows without doc_id count as any other. An empty table gives no rows.
     """
     ship(sized.sparkSession)
     per = materialize(per_source or targets(sized, most=most), "targets").withColumn("buckets", F.ceil(F.col("docs") / bucket_rows).cast("int"))
     wide = per.select(F.col("source").alias("__source"), "source_size", "target", "buckets")
     joined = sized.join(wide, sized["source"].eqNullSafe(wide["__source"])).drop("__source")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    h = F.xxhash64("doc_id", F.lit(seed))
+    tie = F.xxhash64("row") if "row" in sized.columns else F.lit(0).cast("bigint")
+    h = F.xxhash64("doc_id", F.col("tie"), F.lit(seed))
     start = (
         joined.withColumn("expected", F.least(expected, F.lit(float(most))))
+        .withColumn("tie", tie)
         .withColumn("fraction", F.col("expected") - F.floor("expected"))
         .withColumn("draw", F.shiftrightunsigned(h, 11) / F.lit(float(2**53)))
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("buckets")).cast("int"))
+        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.col("tie"), F.lit(seed + 1)), F.col("buckets")).cast("int"))
     )
-    now = materialize(_level(start, ["source", "bucket"], [F.desc("size"), "doc_id"], last=False), "rounded")
+    order = [F.desc("size"), "doc_id", "tie"]
+    now = materialize(_level(start, ["source", "bucket"], order, last=False), "rounded")
     settled, open_ = [now.where("fraction IN (0.0, 1.0)")], now.where("fraction NOT IN (0.0, 1.0)")
     largest = per.agg(F.max("buckets")).first()[0] or 1
     while largest > 1:
         up = open_.withColumn("bucket", F.floor(F.col("bucket") / fan_in).cast("int"))
-        now = materialize(_level(up, ["source", "bucket"], ["doc_id"], last=False), "rounded")
+        now = materialize(_level(up, ["source", "bucket"], order, last=False), "rounded")
         settled.append(now.where("fraction IN (0.0, 1.0)"))
         open_, largest = now.where("fraction NOT IN (0.0, 1.0)"), -(-largest // fan_in)
-    settled.append(_level(open_, ["source", "bucket"], ["doc_id"], last=True))
+    settled.append(_level(open_, ["source", "bucket"], order, last=True))
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
