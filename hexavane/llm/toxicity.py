@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -30,18 +30,20 @@ PIECE = 2 << 20
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the labelled rows that train, half of it at most from one class."""
+    """``sample`` bounds the labelled rows that train, and ``sample_bytes`` the bytes of their texts; half of either at most is
+    from one class."""
 
     sample: int = 4800
+    sample_bytes: int = 48 << 20
     buckets: int = 1 << 17
     dim: int = 4
     shortest: int = 3
     longest: int = 5
-    scale: float = 25.0
-    epochs: int = 8
+    scale: float = 60.0
+    epochs: int = 16
     batch: int = 128
     rate: float = 0.03
-    decay: float = 2e-4
+    decay: float = 1e-3
     damping: float = 1e-3
     clean_weight: float = 2.0
     rare: int = 3
@@ -177,15 +179,21 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Train on a sample of labelled rows outside the held-out fold: the first of each class by a hash of the id.
+    """Train on a sample of labelled rows outside the held-out fold: the first of each class by a hash of the id, as many as
+    ``settings.sample`` rows and ``settings.sample_bytes`` bytes of text allow, and no other, so what comes to the driver is
+    bounded in both.
 
-    Of repeated labels of a document the larger counts; null labels are left out. The sample of ids is at most
-    ``settings.sample`` rows, which bounds the broadcast and what comes to the driver.
+    Of repeated labels of a document the larger counts; null labels are left out. Of texts that repeat an id the smallest
+    counts; null texts train as empty ones.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & (fold(F.col(doc_id)) != 0)).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).alias("__label"))
-    each = [known.where(F.col("__label") == y).orderBy(F.xxhash64("__id"), "__id").limit(s.sample // 2) for y in (0, 1)]
+    place = [F.xxhash64("__id"), F.col("__id")]
+    each = [known.where(F.col("__label") == y).orderBy(*place).limit(s.sample // 2) for y in (0, 1)]
     picked = each[0].unionByName(each[1])
-    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(picked), "__id").dropDuplicates(["__id"])
+    texts = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    rows = texts.join(F.broadcast(picked), "__id").groupBy("__id", "__label").agg(F.min("__text").alias("__text"))
+    so_far = F.sum(F.octet_length("__text")).over(Window.partitionBy("__label").orderBy(*place))  # over the sample alone
+    rows = rows.withColumn("__bytes", so_far).where(F.col("__bytes") <= s.sample_bytes // 2)
     bags, ys = Bags(), []
     got = rows.select("__id", "__label", "__text").toArrow().sort_by("__id")
     for batch in got.to_batches(max_chunksize=200):
@@ -235,7 +243,9 @@ def probability(spark: SparkSession, model: Model) -> Callable[[Column], Column]
 def toxic(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted: one row for each row of ``docs``.
 
-    Labels, language, source and ids are no inputs of a score. Null and empty texts are scored; repeated rows stay; other columns are ignored.
+    Labels, language, source and ids are no inputs of a score. Null, empty and wordless texts get the score of the bias; rows
+    without doc_id are held out; repeated rows stay, equal texts score the same; long texts are scored whole; an empty table
+    gives no rows; other columns are ignored, whatever their names.
     """
     ship(docs.sparkSession)
     model = fit(docs, labels, settings or Settings(), doc_id=doc_id, text=text)
