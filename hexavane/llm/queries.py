@@ -31,7 +31,7 @@ def tokenizer_definition(path: str | None = None) -> str:
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "tokens")
     tokens.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_definition(), end=2)
-    return tokens.read_tokens(spark, path).drop("ids")
+    return tokens.read_tokens(spark, path, ids=False)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

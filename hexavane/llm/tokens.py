@@ -24,6 +24,8 @@ from .words import slices
 
 BLOCK = "shard string, block int, shard_start bigint, n_tokens bigint, first_doc bigint, last_doc bigint, first_tie bigint, doc_ids array<bigint>, starts array<int>, data binary"
 PIECE = 4 << 20
+#: So many documents are looked up by a condition for each.
+FEW = 64
 
 
 #: Letters that are one pre-token together, and ASCII marks that are one after them; the apostrophe, which has rules of its own, is neither.
@@ -32,13 +34,36 @@ _MARKS = r"[!-&(-/:-@\[-`{-~]*"
 _WORD_END = "</w>"
 
 
+# The parts of a tokenizer file for which chunks between ASCII white space can be encoded apart, as they stand there.
+_CHUNK_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_CHUNK_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def chunks_are_exact(definition: dict) -> bool:
+    """Whether no rule of a tokenizer looks across ASCII white space: normalizer and pre-tokenizer must be known ones, and added
+    tokens must hold no white space and take none with them. Any other tokenizer gets whole texts."""
+    normal, split = definition.get("normalizer") or {}, definition.get("pre_tokenizer") or {}
+    steps = split.get("pretokenizers") or [{}]
+    first = steps[0]
+    added = definition.get("added_tokens", [])
+    return (
+        normal.get("type") == "Sequence"
+        and normal.get("normalizers") == _CHUNK_NORMALIZER
+        and split.get("type") == "Sequence"
+        and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
+        and (first.get("behavior"), first.get("invert"), (first.get("pattern") or {}).get("Regex")) == ("Removed", True, _CHUNK_PATTERN)
+        and not steps[1].get("add_prefix_space")
+        and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or any(c.isspace() for c in t["content"]) for t in added)
+    )
+
+
 class ChunkEncoder:
-    """Encodes texts chunk by chunk between ASCII white space, each distinct chunk once.
+    """Encodes texts; for a tokenizer that allows it, chunk by chunk between ASCII white space, each distinct chunk once.
 
     Exact for a tokenizer that drops white space before it splits words: no rule of it then looks across a chunk's edge.
-    For one that also lowers case, splits letters from marks and closes words by a suffix, a chunk of letters and marks is
-    its word and its marks, and new words are encoded many at a time, told apart by that suffix. ``most`` bounds what is
-    remembered between calls.
+    ``chunks_are_exact`` tells; whole texts are encoded otherwise. The tokenizer known there lowers case, splits letters from
+    marks and closes words by a suffix, so a chunk of letters and marks is its word and its marks, and new words are encoded
+    many at a time, told apart by that suffix. ``most`` bounds what is remembered between calls.
     """
 
     def __init__(self, definition: str, most: int = 300_000):
@@ -47,7 +72,8 @@ class ChunkEncoder:
 
         self.tokenizer, self.most = Tokenizer.from_str(definition), most
         d = json.loads(definition)
-        self.joins = d["model"].get("end_of_word_suffix") == _WORD_END and '"Lowercase"' in definition and r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in definition
+        self.chunks = chunks_are_exact(d)
+        self.joins = self.chunks and d["model"].get("end_of_word_suffix") == _WORD_END
         self.ends = np.zeros(largest_id(definition) + 1, bool)
         self.ends[[i for w, i in d["model"]["vocab"].items() if w.endswith(_WORD_END)]] = True
         self._forget()
@@ -117,6 +143,9 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, with ``end`` after each text, and the n + 1 offsets of the texts."""
+        if not self.chunks:
+            each = [np.append(x, np.uint32(end)) for x in self._one_by_one(pc.fill_null(texts, "").to_pylist())]
+            return np.concatenate([np.zeros(0, np.uint32), *each]), np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)]).astype(np.int64)
         chunks = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = chunks.flatten().dictionary_encode()
         pool, size = self._pool(words.dictionary)
@@ -221,38 +250,43 @@ def open_blocks(spark: SparkSession, path: str) -> DataFrame:
     return blocks.join(F.broadcast(spark.createDataFrame(rows, "shard string, base bigint")), "shard")
 
 
-def read_tokens(spark: SparkSession, path: str, doc_ids: Iterable[int] | None = None) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and ids, from the files.
+def read_tokens(spark: SparkSession, path: str, doc_ids: Iterable[int] | None = None, *, ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and ids, from the files; without ``ids`` they are
+    unpacked and summed up but not returned.
 
-    With ``doc_ids``, only blocks whose document range can hold one of them are read, by the files' statistics, and only
-    those documents' bytes are unpacked.
+    With ``doc_ids``, only blocks whose document range can hold one of them are unpacked, and of these only those documents'
+    bytes; the files' statistics leave out what lies beyond the smallest and largest one, and for a few (``FEW``) all others.
     """
     ship(spark)
     blocks = open_blocks(spark, path)
-    wanted = None
-    if doc_ids is not None:
-        wanted = frozenset(doc_ids)
-        reach = F.lit(False)
-        for d in sorted(wanted):
-            reach = reach | ((F.col("first_doc") <= d) & (F.col("last_doc") >= d))
-        blocks = blocks.where(reach)
+    wanted = None if doc_ids is None else np.unique(np.array(list(doc_ids), np.int64))
+    if wanted is not None:
+        if not len(wanted):
+            blocks = blocks.limit(0)
+        elif len(wanted) <= FEW:
+            reach = F.lit(False)
+            for d in wanted.tolist():
+                reach = reach | ((F.col("first_doc") <= d) & (F.col("last_doc") >= d))
+            blocks = blocks.where(reach)
+        else:
+            blocks = blocks.where((F.col("last_doc") >= int(wanted[0])) & (F.col("first_doc") <= int(wanted[-1])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                names, starts = row["doc_ids"], np.asarray(row["starts"], np.int64)
-                picked = range(len(names)) if wanted is None else [i for i, d in enumerate(names) if d in wanted]
-                ids = unpack(row["data"]) if wanted is None else None
-                each = [ids[starts[i] : starts[i + 1]] if ids is not None else unpack(row["data"], int(starts[i]), int(starts[i + 1])) for i in picked]
-                first = row["base"] + row["shard_start"]
-                arrays = [
-                    pa.array([names[i] for i in picked], pa.int64()),
-                    pa.array([first + int(starts[i]) for i in picked], pa.int64()),
-                    pa.array([len(x) for x in each], pa.int64()),
-                    pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in each], pa.int64()),
-                    pa.array([x.astype(np.int32) for x in each], pa.list_(pa.int32())),
-                ]
-                yield pa.record_batch(arrays, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+            for i in range(batch.num_rows):
+                names, starts = batch.column(0)[i].values, np.asarray(batch.column(1)[i].values.to_numpy(), np.int64)
+                data = batch.column(4)[i].as_buffer()
+                first = batch.column(2)[i].as_py() + batch.column(3)[i].as_py()
+                if wanted is None:
+                    picked, all_ids = np.arange(len(names)), unpack(data)
+                    each = [all_ids[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+                else:
+                    picked = np.flatnonzero(pc.is_in(names, pa.array(wanted)).to_numpy(zero_copy_only=False))
+                    each = [unpack(data, int(starts[k]), int(starts[k + 1])) for k in picked]
+                arrays = [names.take(pa.array(picked)), pa.array(first + starts[picked]), pa.array([len(x) for x in each], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in each], pa.int64())]
+                if ids:
+                    arrays.append(pa.array([x.astype(np.int32) for x in each], pa.list_(pa.int32())))
+                yield pa.record_batch(arrays, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(arrays)])
 
     need = blocks.select("doc_ids", "starts", "shard_start", "base", "data")
-    return need.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
+    return need.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * ids)
