@@ -259,12 +259,12 @@ class Segment:
         out = np.empty((len(at), n), bool)
         for a in range(0, len(at), 32):
             rows = slice(a, a + 32)
-            count = np.zeros((len(at[rows]), n), np.uint16)
+            count = np.zeros((len(at[rows]), n), np.uint8 if m < 256 else np.uint16)
             for j in range(m):
                 inside = (self.cells[j] - begin[rows, j][:, None]) <= span[rows, j][:, None]
                 if none[rows, j].any():
                     inside &= ~none[rows, j][:, None]
-                count += inside
+                count += inside.view(np.uint8)
             out[rows] = count >= plan.least
         return out
 
