@@ -71,31 +71,63 @@ def plain_contaminated(doc, items, window):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [16 << 20, 200])
+@pytest.mark.parametrize("block", [1 << 17, 7])
 def test_decontamination(spark, docs, block):
     texts = [r["text"] for r in docs.collect()]
     items = [(i, t) for i, t in enumerate([texts[5], texts[9], texts[9], "", None, "one", "ONE two", "1 2 3", " ".join(str(i) for i in range(50, 65)), "none of it here"])] + [(10, texts[12]), (10, texts[12])]
     bench = spark.createDataFrame([*items, (None, texts[20])], "item_id bigint, text string")
-    got = contamination.contaminated(docs, bench, window=10, block_bytes=block).collect()
+    got = contamination.contaminated(docs, bench, window=10, block_windows=block).collect()
     want = [(r["doc_id"], *plain_contaminated(r["text"], items, 10)) for r in docs.collect()]
     assert sorted([(r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got], key=repr) == sorted(want, key=repr)
     assert all(r["contaminated"] == (r["n_hit"] > 0) and r["n_items"] == len(r["items"]) for r in got)
     assert contamination.contaminated(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def sent(spark, phrase):
+    return spark.sparkContext.broadcast(contamination.patterns_of([("7", words.words_of(pa.array([phrase]), words.ALNUM).hashes)], 10))
+
+
+def plain_loose(texts, phrase, slack):
+    """Spans of each text: a start s is good if every term stands somewhere in the text at its place from s on, give or take slack; of
+    several places the first from the left is taken."""
+    out = []
+    for t in texts:
+        w, p, spans = t.split(), phrase.split(), set()
+        rare = min(range(len(p)), key=lambda k: (sum(x.split().count(p[k]) for x in texts), k))
+        for at in [i for i, x in enumerate(w) if x == p[rare]]:
+            for start in range(at - rare - slack, at - rare + slack + 1):
+                places = [at if k == rare else next((i for i in range(max(0, start + k - slack), min(len(w), start + k + slack + 1)) if w[i] == term), None) for k, term in enumerate(p)]
+                if None not in places:
+                    spans.add((min(places), max(places) + 1))
+        out.append(spans)
+    return out
+
+
+@pytest.mark.parametrize("slack", [1, 2])
+def test_proximity_against_plain(spark, slack):
+    """All documents in one segment; what is covered is compared."""
+    rng = random.Random(slack)
+    texts = [" ".join(rng.choice("abcdx") for _ in range(rng.randint(1, 12))) for _ in range(120)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    for phrase in ("a b c", "d a", "a a b x"):
+        got = {r["doc_id"]: {i for s in r["spans"] for i in range(s[0], s[1])} for r in contamination.matches(contamination.build_index(d), sent(spark, phrase), slack=slack).collect()}
+        want = {k: {i for a, b in spans for i in range(a, b)} for k, spans in enumerate(plain_loose(texts, phrase, slack))}
+        assert got == want
+
+
 def test_full_index_and_proximity(spark, nothing):
     d = spark.createDataFrame([(1, "a b c d e f"), (2, "a x b c"), (3, "c b a")], "doc_id bigint, text string")
-    p = contamination.patterns_of([7], ["a b c"], 10)
+    p = sent(spark, "a b c")
     index = contamination.build_index(d)
     exact = {r["doc_id"]: r["items"] for r in contamination.matches(index, p).collect()}
     loose = {r["doc_id"]: r["items"] for r in contamination.matches(index, p, slack=1).collect()}
-    assert exact == {1: [0], 2: [], 3: []} and loose[2] == [0] and loose[3] == []
+    assert exact == {1: ["7"], 2: [], 3: []} and loose[2] == ["7"] and loose[3] == []
     assert contamination.contaminated(nothing, d.withColumnRenamed("doc_id", "item_id")).count() == 0
 
 
 def test_proximity_at_document_edges(spark):
     d = spark.createDataFrame([(1, "b a c a a a"), (2, "a x b"), (3, "c c c"), (4, "x a b"), (5, "a c b")], "doc_id bigint, text string").coalesce(1)
-    index, p = contamination.build_index(d), contamination.patterns_of([7], ["a b c"], 10)
+    index, p = contamination.build_index(d), sent(spark, "a b c")
     found = {n: {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in contamination.matches(index, p, slack=n).collect() if r["items"]} for n in (0, 1, 2)}
     assert found == {0: {}, 1: {1: [(0, 3)], 5: [(0, 3)]}, 2: {1: [(0, 3)], 5: [(0, 3)]}}
 
@@ -315,7 +347,7 @@ def test_mixing(spark, docs, nothing):
             assert r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 3 and r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]])
             taken[r["source"]] += r["taken"]
         for s in ("a", "b", "c", "d", None):
-            assert taken[s] == pytest.approx(want[s], rel=0.05)
+            assert taken[s] == pytest.approx(want[s], abs=20)
         assert taken["tiny"] == 3
         results.append(sorted((repr(r["doc_id"]), r["taken"]) for r in got))
     assert results[0] == results[1]
@@ -325,35 +357,17 @@ def test_mixing(spark, docs, nothing):
 
 
 def test_pivot():
+    """Words stay, one of the two becomes integral, and on average neither fraction changes."""
     rng = random.Random(1)
-    for _ in range(200):
-        a, b = rng.random(), rng.random()
-        x, y = mixing.pivot(a, b, rng.random())
-        assert x + y == pytest.approx(a + b) and (x in (0.0, 1.0) or y in (0.0, 1.0))
-    assert sum(mixing.pivot(0.2, 0.3, (i + 0.5) / 1000)[0] for i in range(1000)) / 1000 == pytest.approx(0.2, abs=0.002)
-    assert sum(mixing.pivot(0.9, 0.4, (i + 0.5) / 1000)[0] for i in range(1000)) / 1000 == pytest.approx(0.9, abs=0.002)
+    for _ in range(300):
+        a, b, m, n = rng.random(), rng.random(), rng.choice([1, 3, 900]), rng.choice([1, 2, 50])
+        draws = [mixing.pivot(a, b, m, n, (i + 0.5) / 2000) for i in range(2000)]
+        for x, y in (draws[0], draws[-1]):
+            assert x * m + y * n == pytest.approx(a * m + b * n) and 0 <= x <= 1 and 0 <= y <= 1 and (x in (0.0, 1.0) or y in (0.0, 1.0))
+        assert sum(x for x, _ in draws) / 2000 == pytest.approx(a, abs=0.002) and sum(y for _, y in draws) / 2000 == pytest.approx(b, abs=0.002)
 
 
 # -- queries and pipeline
 def test_digest(spark):
     got = {r["doc_id"]: r["items_sha256"] for r in queries.op1_decontamination(spark, SF).where("n_items = 0").limit(1).collect()}
     assert set(got.values()) == {hashlib.sha256(b"").hexdigest()}
-
-
-def test_pipeline(spark):
-    import corpus_pipeline as P
-
-    df = spark.read.parquet(f"{SF}/documents.parquet")
-    columns = df.columns
-    odd = df.unionByName(df.limit(3)).unionByName(df.limit(1).withColumn("doc_id", F.lit(None).cast("bigint"))).unionByName(df.limit(1).selectExpr("-1L as doc_id", "cast(null as string) as text", "lang", "cast(null as string) as source", "n_chars"))
-    for source in (odd, odd.limit(0)):
-        now = source
-        for name, stage in P.STAGES:
-            out = stage(spark, now, SF)
-            if name != "tokens":
-                assert out.columns == columns
-            now = P.scratch.materialize(out, name)
-            if name == "near_dedup":
-                ids = [r["doc_id"] for r in now.where("doc_id IS NOT NULL").collect()]
-                assert len(ids) == len(set(ids))
-        assert set(now.columns) == {"doc_id", "start", "n_tokens", "ids_crc32"}
