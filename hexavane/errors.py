@@ -10,20 +10,26 @@ class QueryError(Exception):
 
 
 class ParseError(QueryError):
-    """Lexical or grammatical fault. ``kind`` is a short tag, ``span`` the [start, end) offsets in the text."""
+    """Lexical or grammatical fault. ``kind`` is a short tag, ``span`` the [start, end) offsets in the text's UTF-8 bytes."""
 
     stage = "parse"
 
     def __init__(self, kind: str, span: tuple[int, int], message: str, text: str = ""):
-        self.kind, self.span = kind, span
+        self.kind, self.span = kind, tuple(byte_offset(text, x) for x in span) if text else span
         self.line, self.column = line_col(text, span[0])
         super().__init__(f"{kind} at line {self.line}, column {self.column}: {message}")
 
 
 def line_col(text: str, offset: int) -> tuple[int, int]:
-    """1-based line and column of a character offset."""
+    """1-based line, and column in UTF-8 bytes, of a character offset."""
     before = text[:offset]
-    return before.count("\n") + 1, offset - (before.rfind("\n") + 1) + 1
+    start = before.rfind("\n") + 1
+    return before.count("\n") + 1, byte_offset(text, offset) - byte_offset(text, start) + 1
+
+
+def byte_offset(text: str, offset: int) -> int:
+    """Offset in UTF-8 bytes of an offset in characters; what lies beyond the text counts one each."""
+    return len(text[:offset].encode("utf-8", "surrogatepass")) + max(0, offset - len(text))
 
 
 class BindError(QueryError):
@@ -156,10 +162,30 @@ class SchemaMismatch(EngineError):
     pass
 
 
+class CapacityOverflow(EngineError):
+    """A capacity beyond what a row id can count."""
+
+
 class CorruptCatalog(EngineError):
     pass
 
 
+class CorruptSnapshot(EngineError):
+    """Stored state that the catalog or a head names is missing or cannot be read."""
+
+
+class UnsupportedVersion(EngineError):
+    """Stored by another format."""
+
+
+class WriterFenced(EngineError):
+    """Another writer has taken over; the change does not count."""
+
+
+class ReadOnlyDatabase(EngineError):
+    """A change asked of a handle that was opened for reading."""
+
+
 class DatabaseLocked(EngineError):
     pass
 

@@ -20,24 +20,44 @@ def dot_f64(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
-def lane_dot(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Eight float32 lanes of fused multiply-add, lanes summed left to right, tail fused into the sum.
+def fold_dot(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """The same fold over the rows of a matrix, bit for bit."""
+    total = np.zeros(len(rows))
+    for d in range(len(query)):
+        total += rows[:, d].astype(np.float64) * query[d]
+    return total
+
+
+def fused(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """a * b + c for single-precision values, rounded once to single precision.
 
-    A product of two float32 is exact in float64, so one rounding to float32 after the float64 addition stands for the
-    fused operation (double rounding aside).
+    The product is exact in double precision. The sum is rounded to odd there, by its exact error, and a value rounded to
+    odd with that many spare bits rounds on to what the exact value would round to.
     """
-    wide, q = rows.astype(np.float64), query.astype(np.float64)
-    n, dim = wide.shape
+    product, wide = a.astype(np.float64) * b.astype(np.float64), c.astype(np.float64)
+    total = product + wide
+    part = total - product
+    error = (product - (total - part)) + (wide - part)
+    even = (total.view(np.int64) & 1) == 0
+    off = even & (error != 0) & np.isfinite(total) & np.isfinite(error)
+    total = np.where(off, np.nextafter(total, np.where(error > 0, np.inf, -np.inf)), total)
+    return total.astype(np.float32)
+
+
+def lane_dot(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Eight float32 lanes of fused multiply-add, lanes summed left to right, tail fused into the sum; bit for bit."""
+    x, q = rows.astype(np.float32), query.astype(np.float32)
+    n, dim = x.shape
     whole = dim - dim % 8
     lanes = np.zeros((n, 8), np.float32)
     with np.errstate(over="ignore", invalid="ignore"):
         for at in range(0, whole, 8):
-            lanes = (wide[:, at : at + 8] * q[at : at + 8] + lanes).astype(np.float32)
+            lanes = fused(x[:, at : at + 8], np.broadcast_to(q[at : at + 8], (n, 8)), lanes)
         total = np.zeros(n, np.float32)
         for lane in range(8):
-            total = (total + lanes[:, lane]).astype(np.float32)
+            total = total + lanes[:, lane]
         for at in range(whole, dim):
-            total = (wide[:, at] * q[at] + total).astype(np.float32)
+            total = fused(x[:, at], np.full(n, q[at], np.float32), total)
     return total
 
 

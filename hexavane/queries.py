@@ -48,6 +48,17 @@ def _sql_read(spark, d, text: str) -> DataFrame:
     return plan_search(bound, live) if hasattr(bound, "k") else plan_select(bound, live)
 
 
+#: The orders table with a vector column, which a collection has: its total price.
+ORDERS = Collection(1, "orders", 2**62, (Column("price", "VECTOR", 1), Column("o_custkey", "INT"), Column("o_orderkey", "INT"), Column("o_orderstatus", "TEXT")))
+
+
+def _orders_reordered(spark, d) -> DataFrame:
+    """SELECT of two columns in another order than they are declared in."""
+    df = table(spark, d, "orders").withColumn("price", F.array(F.col("o_totalprice").cast("float")))
+    bound = bind(parse("SELECT o_orderstatus, o_orderkey FROM orders;"), {"orders": ORDERS})
+    return plan_select(bound, external_rows(df, "o_orderkey", ORDERS))
+
+
 def _literal(spark, d) -> str:
     return "[" + ", ".join(f"{x:.60f}" for x in _query(spark, d)) + "]"
 
@@ -112,7 +123,10 @@ def _vector_at(spark, d) -> DataFrame:
 
 def _sql_round_trip(spark, d) -> DataFrame:
     """CREATE, INSERT and SEARCH on a database of its own, in the folder the session shares."""
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).rstrip('/')}/hexavane-demo-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = f"{(shared or tempfile.gettempdir()).rstrip('/')}/hexavane-demo-{uuid.uuid4().hex}"
     db, name = Database(spark, root), "docs"
     db.sql(f"CREATE COLLECTION {name} (author TEXT, vector VECTOR(4), title TEXT, published_at INT) WITH (capacity = 1024);")
     for title, x, year in (("far", 1, 2001), ("near", 3, 2003), ("mid", 2, 2002)):
@@ -146,7 +160,7 @@ def queries() -> dict:
         "search_excludes_deleted": _excludes_deleted,
         "search_ranked": _ranked,
         "select_star": lambda s, d: _sql_read(s, d, "SELECT * FROM embeddings;"),
-        "select_columns_reordered": lambda s, d: table(s, d, "orders").select("o_orderstatus", "o_orderkey"),
+        "select_columns_reordered": _orders_reordered,
         "lookup_eq_int": _lookup("orders", "o_custkey", "INT", 7, "o_orderkey"),
         "lookup_eq_float": _lookup("lineitem", "l_discount", "FLOAT", 0.05, "l_orderkey", "l_linenumber"),
         "lookup_eq_text": _lookup("customer", "c_mktsegment", "TEXT", "BUILDING", "c_custkey"),

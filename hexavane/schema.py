@@ -82,6 +82,8 @@ def check_definition(c: Collection) -> Collection:
         raise E.InvalidCollectionName("the name is empty")
     if not isinstance(c.capacity, int) or c.capacity < 1:
         raise E.InvalidCapacity(f"capacity {c.capacity} is below 1")
+    if c.capacity > 2**63 - 1:
+        raise E.CapacityOverflow(f"capacity {c.capacity} is beyond what a row id can count")
     if sum(x.kind == VECTOR for x in c.columns) != 1:
         raise E.SchemaMismatch("a collection has exactly one vector column")
     if c.vector.dim is None or c.vector.dim < 1:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 from ..errors import CorruptCatalog
@@ -26,9 +28,13 @@ class Files:
         return self.fs.exists(self._path(name))
 
     def read(self, name: str) -> str | None:
-        if not self.exists(name):
-            return None
-        stream = self.fs.open(self._path(name))
+        """The text of a file, or None if there is none."""
+        try:
+            stream = self.fs.open(self._path(name))
+        except Exception as e:
+            if "FileNotFound" in str(e):
+                return None
+            raise
         try:
             return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         except Exception as e:
@@ -38,31 +44,41 @@ class Files:
         finally:
             stream.close()
 
-    def replace(self, name: str, text: str) -> None:
-        """Write beside the target, flush to the device, rename over it: readers see the old text or the new."""
-        side = self._path(f"{name}.new")
+    def _beside(self, name: str, text: str):
+        """The text in a file beside the target, flushed to the device."""
+        side = self._path(f"{name}.{uuid.uuid4().hex}.new")
         stream = self.fs.create(side, True)
         stream.write(bytearray(text.encode()))
         stream.hsync()
         stream.close()
-        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
-        overwrite = self.jvm.java.lang.reflect.Array.newInstance(rename.OVERWRITE.getClass(), 1)
-        overwrite[0] = rename.OVERWRITE
-        self.context.rename(side, self._path(name), overwrite)
+        return side
 
-    def claim(self, name: str, text: str) -> bool:
-        """Create the file; False if it is there already."""
-        self.fs.mkdirs(self._path(""))
+    def _rename(self, side, name: str, how) -> None:
+        option = self.jvm.java.lang.reflect.Array.newInstance(how.getClass(), 1)
+        option[0] = how
+        self.context.rename(side, self._path(name), option)
+
+    def replace(self, name: str, text: str) -> None:
+        """Write beside the target and rename over it: readers see the old text or the new."""
+        self._rename(self._beside(name, text), name, self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE)
+
+    def create(self, name: str, text: str) -> bool:
+        """Write beside the target and rename, unless there is such a file: False then. Readers see nothing or all of it."""
+        self.fs.mkdirs(self._path(name).getParent())
+        side = self._beside(name, text)
         try:
-            stream = self.fs.create(self._path(name), False)
+            self._rename(side, name, self.jvm.org.apache.hadoop.fs.Options.Rename.NONE)
         except Exception as e:
+            self.fs.delete(side, False)
             if "FileAlreadyExists" in str(e) or "already exists" in str(e):
                 return False
             raise
-        stream.write(bytearray(text.encode()))
-        stream.close()
         return True
 
+    def claim(self, name: str, text: str) -> bool:
+        """Create the file; False if it is there already."""
+        return self.create(name, text)
+
     def remove(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
 
@@ -70,4 +86,3 @@ class Files:
         if not self.exists(folder):
             return []
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(folder)))
-
