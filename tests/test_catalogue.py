@@ -29,14 +29,3 @@ def test_plans(spark):
     p = plan(Q.queries()["lookup_eq_int"](spark, SF))
     assert "EqualTo(o_custkey,7)" in p and "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in p
     assert "WindowGroupLimit" in plan(Q.queries()["batch_knn"](spark, SF))
-
-
-def test_lane_kernel(spark):
-    import numpy as np
-
-    from hexavane.functions.scoring import lane_dot
-
-    rng = np.random.default_rng(3)
-    for dim in (1, 7, 8, 9, 31, 128, 768):
-        a, b = rng.normal(size=(5, dim)).astype(np.float32), rng.normal(size=dim).astype(np.float32)
-        assert np.allclose(lane_dot(a, b), a.astype(float) @ b.astype(float), rtol=1e-4, atol=1e-4)
