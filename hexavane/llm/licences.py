@@ -232,7 +232,7 @@ def tagged(text: str) -> str | None:
 
 
 class Scanner:
-    """Licence and score of the best notice of a text, and of the text as a whole."""
+    """Licence and score of the best notice of a text, and of the full licence text that it is as a whole."""
 
     def __init__(self, matcher: Matcher):
         self.notice, self.full = matcher, Matcher(full_texts(), matcher.threshold, matcher.anchors)
@@ -247,8 +247,7 @@ class Scanner:
         words = tokens(text)
         pairs += self.notice.stretches(words)
         ranked = [(self.notice.rows[i] != GENERIC, round(v, 9), self.notice.lengths[i], self.notice.rows[i]) for i, v in pairs]
-        whole = self.notice.nearest(words)
-        whole = whole and (self.notice.rows[whole[0]], whole[1])
+        whole = None
         if any(r[0] for r in ranked):
             ranked += [(2, round(v, 9), self.full.lengths[i], self.full.rows[i]) for i, v in self.full.stretches(words)]
             if all_of := self.full.nearest(words):
@@ -259,7 +258,7 @@ class Scanner:
 
 
 def notices(files: DataFrame, matcher: Matcher, *, path: str, text: str) -> DataFrame:
-    """path, whole (licence and score of the whole text), header (of its best notice) for files that have either.
+    """path, whole (licence and score, if all of it is a full licence text), header (of its best notice) for files that have either.
 
     Only texts with an anchor token or an SPDX tag are sent to Python; that filter runs on the JVM and can lose nothing.
     """
@@ -286,10 +285,11 @@ def parent(path: Column) -> Column:
 def scan(files: DataFrame, *, threshold: float = 0.8, templates: list[tuple[str, str]] = TEMPLATES, path: str = "path", text: str = "text") -> DataFrame:
     """path, licence, score, scope (file, header, inherited or none), licence_path: one row for each distinct path.
 
-    A file named like a licence, or whose whole text is one, is a licence file and covers its directory and all below it,
-    but where a nearer one does. A notice in a file itself comes first. Null paths are left out; null and empty texts have
-    no notice; files that repeat a path count once, by their best notice; other columns are ignored. Of several licence
-    files in a directory the best score, then the first path, counts.
+    A file named like a licence, or whose whole text is a full licence text, is a licence file and covers its directory and all
+    below it, but where a nearer one does; a file that is a short notice and no more is licensed by it and covers no other. A
+    notice in a file itself comes first. Null paths are left out; null and empty texts have no notice; files that repeat a path
+    count once, by their best notice; an empty table gives no rows; other columns are ignored, whatever their names. Of several
+    licence files in a directory the best score, then the first path, counts. Long texts are scanned whole.
     """
     matcher = Matcher(templates, threshold)
     known = files.where(F.col(path).isNotNull())

@@ -293,7 +293,7 @@ def test_extraction_drops_nothing_else():
 def test_licences(spark):
     rows = [("p/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."), ("p/a.py", "code"), ("p/q/b.py", "# Licensed under the Apache License, Version 2.0.\ncode by me"), ("p/q/r/c.py", None), ("z/d.py", "licensed premises under version"), ("p/v/COPYING", "x\nThis work is licensed under the GNU General Public License, version 3."), ("p/v/w/e.py", ""), ("p/a.py", "code"), (None, "All rights reserved."), ("top.txt", "All rights reserved.")]
     got = {r["path"]: (r["licence"], r["scope"]) for r in licences.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
-    assert got == {"p/LICENSE": ("MIT", "file"), "p/a.py": ("MIT", "inherited"), "p/q/b.py": ("Apache-2.0", "header"), "p/q/r/c.py": ("MIT", "inherited"), "z/d.py": ("proprietary", "inherited"), "p/v/COPYING": ("GPL-3.0", "file"), "p/v/w/e.py": ("GPL-3.0", "inherited"), "top.txt": ("proprietary", "file")}
+    assert got == {"p/LICENSE": ("MIT", "file"), "p/a.py": ("MIT", "inherited"), "p/q/b.py": ("Apache-2.0", "header"), "p/q/r/c.py": ("MIT", "inherited"), "z/d.py": (None, "none"), "p/v/COPYING": ("GPL-3.0", "file"), "p/v/w/e.py": ("GPL-3.0", "inherited"), "top.txt": ("proprietary", "header")}
     m = licences.Matcher(licences.TEMPLATES, 0.8)
     bare = " ".join(w for _, t in licences.TEMPLATES for w in licences.tokens(t) if w not in m.anchors)
     assert m.best(bare) is None and all(m.best(t)[0] == n for n, t in licences.TEMPLATES)
