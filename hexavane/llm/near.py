@@ -8,9 +8,11 @@ A table key is a pair of one left and one right key, so 2 * tables * rows minhas
 Texts with equal sets are collapsed first, and table keys of the same members count once. Nothing is joined on a shared key
 alone. Each text is compared with one hub, the smallest member it shares a key with, on the full sets; what is confirmed is
 closed to classes. Of the keys, only those whose members lie in more than one class are gone through once more: members of
-different classes are compared, by a prefix filter and on the full sets, keys with the same classes in one go. Work that
-exceeds ``block_shingles`` is cut into blocks, and pairs of blocks into units, so no task holds an unbounded group and no link
-is lost. Tables that are joined by a key that many rows may have are written before, so that Spark can split that key.
+different classes are compared, by a prefix filter and on the full sets. Classes that such keys connect form a group, in which
+each text is once; a group beyond ``GROUP`` blocks is taken apart again into one for each set of classes that keys have, as
+such groups may span the corpus. Work that exceeds ``block_shingles`` is cut into blocks, and pairs of blocks into units, so no
+task holds an unbounded group and no link is lost. Tables that are joined by a key that many rows may have are written before,
+so that Spark can split that key.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .words import SPACED, mix, shingle_sets, slices, words_of
 
 _SEED = 7_919
 PIECE = 1 << 20
+#: Blocks up to which connected classes are one group.
+GROUP = 8
 
 
 def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +125,7 @@ def hub_links(members: DataFrame, sets: DataFrame, *, percent: int, block_shingl
     one = members.where("fp != hub").groupBy("fp").agg(F.first("n").alias("n"), F.min(F.struct("hub", "hub_n")).alias("h"))
     fits = 100 * F.least("n", "h.hub_n") >= percent * F.greatest("n", "h.hub_n")
     one = materialize(one.where(fits).select("fp", "n", F.col("h.hub").alias("hub")), "pairs")
-    hubs = materialize(one.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).cast("int").alias("units")), "hubs")
+    hubs = materialize(one.groupBy("hub").agg(F.ceil(4 * F.sum("n") / F.lit(block_shingles)).cast("int").alias("units")), "hubs")
     rows = one.join(hubs.hint("merge"), "hub").select("hub", F.pmod(F.xxhash64("fp", F.lit(11)), "units").cast("int").alias("unit"), F.lit(1).alias("role"), "fp")
     rows = rows.unionByName(hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), F.lit(0).alias("role"), F.col("hub").alias("fp")))
     work = rows.join(sets.select("fp", "shingles").hint("merge"), "fp").select("hub", "unit", "role", "fp", "shingles")
@@ -226,19 +230,30 @@ def exact_links(sets: list[np.ndarray], percent: int, known: list[int] | None =
     return links
 
 
-def open_groups(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(grp, fp, label, n): members of the keys that hold more than one class, keys with the same classes as one group. Keys of
-    two members that were compared already are left out."""
+def open_groups(members: DataFrame, classes: DataFrame, block_shingles: int) -> DataFrame | None:
+    """(grp, fp, label, n): members of the keys that hold more than one class; None if there are none. Keys of two members that
+    were compared already are left out."""
     named = members.join(classes.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
-    own = members.where("fp != hub").groupBy("fp").agg(F.min("hub").alias("met"))
+    own = materialize(members.where("fp != hub").groupBy("fp").agg(F.min("hub").alias("met")), "met")
     named = named.join(own.hint("merge"), "fp", "left").select("key", "fp", "n", "hub", "size", "met", F.coalesce("label", "fp").alias("label"))
     named = materialize(named, "named")
     open_ = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("size").alias("size"), F.max((F.col("fp") != F.col("hub")) & (F.col("met") == F.col("hub"))).alias("met"))
-    open_ = materialize(open_.where("a != b AND NOT (size = 2 AND met)").select("key"), "open")
-    named = materialize(named.join(open_.hint("merge"), "key", "left_semi").select("key", "fp", "n", "label"), "unsettled")
-    kinds = named.groupBy("key", "label").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("a"), F.bit_xor(F.xxhash64("label")).alias("x"))
+    open_ = materialize(open_.where("a != b AND NOT (size = 2 AND met)").select("key", "a"), "open")
+    if open_.isEmpty():
+        return None
+    named = materialize(named.join(open_.hint("merge"), "key").select("key", "fp", "n", "label", "a"), "unsettled")
+    tied = components(named.select(F.col("label").alias("u"), F.col("a").alias("v")))
+    tied = materialize(tied.select(F.col("node").alias("label"), F.col("label").alias("grp")), "tied")
+    texts = named.groupBy("fp").agg(F.first("label").alias("label"), F.first("n").alias("n")).join(tied.hint("merge"), "label")
+    texts = materialize(texts.select("grp", "fp", "label", "n"), "texts")
+    large = materialize(texts.groupBy("grp").agg(F.sum("n").alias("n")).where(F.col("n") > GROUP * block_shingles).select("grp"), "large")
+    small = texts.join(large.hint("merge"), "grp", "left_anti").select("grp", "fp", "label", "n")
+    wide = tied.join(large.hint("merge"), "grp", "left_semi").select("label")
+    apart = materialize(named.join(materialize(wide, "wide").hint("merge"), "label", "left_semi").select("key", "fp", "n", "label"), "apart")
+    kinds = apart.groupBy("key", "label").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("a"), F.bit_xor(F.xxhash64("label")).alias("x"))
     kinds = materialize(kinds.select("key", F.xxhash64("c", "a", "x").alias("grp")), "kinds")
-    return named.join(kinds.hint("merge"), "key").groupBy("grp", "fp").agg(F.first("label").alias("label"), F.first("n").alias("n"))
+    rest = apart.join(kinds.hint("merge"), "key").groupBy("grp", "fp").agg(F.first("label").alias("label"), F.first("n").alias("n"))
+    return small.unionByName(rest.select("grp", "fp", "label", "n"))
 
 
 def class_links(groups: DataFrame, sets: DataFrame, *, percent: int, block_shingles: int) -> DataFrame:
@@ -278,7 +293,10 @@ def classes_of(docs: DataFrame, sk: DataFrame, *, width: int, percent: int, tabl
     wanted = materialize(nodes.select("fp", "rep").join(members.select("fp").distinct(), "fp", "left_semi"), "wanted")
     sets = materialize(set_table(docs, wanted, width=width, doc_id=doc_id, text=text), "sets")
     first = materialize(components(hub_links(members, sets, percent=percent, block_shingles=block_shingles)), "classes")
-    groups = materialize(open_groups(members, first), "groups")
+    groups = open_groups(members, first, block_shingles)
+    if groups is None:
+        return first.select(F.col("node").alias("fp"), "label")
+    groups = materialize(groups, "groups")
     second = materialize(components(class_links(groups, sets, percent=percent, block_shingles=block_shingles)), "classes")
     second = second.select(F.col("node").alias("label"), F.col("label").alias("whole"))
     # a class of one text has no row in the first table
