@@ -139,9 +139,10 @@ def fields(docs: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
 
 def recurring(found: DataFrame, docs: DataFrame, *, depth: int, similar: float, min_docs: int) -> DataFrame:
     """The lines that recur, from the occurrences ``found`` and their texts."""
-    pairs = found.select("leaf", "line", "doc").distinct()
     shared = materialize(found.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "shared")
-    pairs = materialize(pairs.join(shared.hint("merge"), "leaf", "left_semi"), "pairs")
+    # grouped by line and document, not by leaf, so that the join before can split a leaf
+    pairs = found.join(shared.hint("merge"), "leaf", "left_semi").groupBy("line", "doc").agg(F.first("leaf").alias("leaf"))
+    pairs = materialize(pairs, "pairs")
     lines = materialize(pairs.groupBy("leaf", "line").agg(F.count("*").alias("docs")), "lines")
     busy = materialize(lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).where("lines > 1").select("leaf"), "busy")
     parsed = fields(docs, busy, depth).groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("keys").alias("keys"))
