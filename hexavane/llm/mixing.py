@@ -1,11 +1,14 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Each document has an expected number of copies, target / source_size; its whole part is certain, its fraction is rounded by
-the pivotal method: of two fractional documents, words move at random from one to the other until one is integral. What one
-gains in words the other loses, so the words that a source gives never change, and either fraction stays as it is on average.
-Buckets of a source, ordered by falling size so that the document left over is small, are worked through independently and
-leave at most one fractional document each; these meet, ``fan_in`` buckets at a time, in a tree up to one per source, whose
-rounding is all by which a source misses its target.
+the pivotal method: of two fractional units, words move at random from one to the other until one is integral. What one gains
+in words the other loses, so the words that a source gives never change, and either fraction stays as it is on average.
+
+The documents of a source are dealt to buckets. In a bucket they come by falling size, and each is paired with the pool of all
+that are smaller, which share one fraction: the document becomes integral, and the pool takes the difference. So a long
+document is settled while there are many to make up for it, and the one that is left fractional is the smallest, unless a
+single one outweighs its pool. What buckets leave, one document each, meets ``fan_in`` at a time in a tree, in pairs, up to
+one for each source, whose rounding is all by which a source misses its target.
 """
 
 from __future__ import annotations
@@ -69,8 +72,43 @@ def pivot(one: float, two: float, size_one: float, size_two: float, draw: float)
     return (0.0, min(1.0, two + down * size_one / size_two)) if down == one else (one - down, 1.0)
 
 
+def settle(words: int, fraction: float, rest: int, draw: float) -> tuple[float, float]:
+    """A document of so many words and the pool of ``rest`` words, both of this fraction: fractions of the document and of the
+    pool after words have moved until one of them is integral."""
+    up, down = min(1 - fraction, fraction * rest / words), min(fraction, (1 - fraction) * rest / words)
+    if draw * (up + down) < down:
+        return (1.0, max(0.0, fraction - up * words / rest)) if up == 1 - fraction else (fraction + up, 0.0)
+    return (0.0, min(1.0, fraction + down * words / rest)) if down == fraction else (fraction - down, 1.0)
+
+
+def _buckets(fractions: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The first level: every bucket in a stream, largest document first. All rows of a bucket have one fraction. Nothing is
+    held but the pool's words and fraction; at most one row a bucket keeps a fraction."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rest, pool = None, 0, 0.0
+        for batch in batches:
+            names, sizes_, totals, got, draws = (list(zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ks), strict=True)) for ks in (keys, ["size"], ["words"], ["fraction"], ["draw"]))
+            done = []
+            for key, (size,), (total,), (f,), (draw,) in zip(names, sizes_, totals, got, draws, strict=True):
+                if key != now:
+                    now, rest, pool = key, total, f
+                rest -= max(size, 1)
+                if 0 < pool < 1 and rest > 0:
+                    f, pool = settle(max(size, 1), pool, rest, draw)
+                else:
+                    f = pool
+                done.append(f)
+            out = _set(batch, done)
+            yield out.select([c for c in out.schema.names if c != "words"])
+
+    rows = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    dealt = fractions.withColumn("words", F.sum(F.greatest("size", F.lit(1))).over(rows)).sortWithinPartitions(*keys, *order)
+    return dealt.mapInArrow(run, fractions.schema)
+
+
 def _level(fractions: DataFrame, keys: list[str], order: list, last: bool) -> DataFrame:
-    """One level of the tree: fractions within a group are rounded in a stream; at most one row a group keeps a fraction,
+    """One level of the tree, in pairs: fractions within a group are rounded in a stream; at most one row a group keeps a fraction,
     and at the last level that one is rounded too. Only that row is held from batch to batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +197,7 @@ def mix(
         .withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.col("tie"), F.lit(seed + 1)), F.col("buckets")).cast("int"))
     )
     order = [F.desc("size"), "doc_id", "tie"]
-    now = materialize(_level(start, ["source", "bucket"], order, last=False), "rounded")
+    now = materialize(_buckets(start, ["source", "bucket"], order), "rounded")
     settled, open_ = [now.where("fraction IN (0.0, 1.0)")], now.where("fraction NOT IN (0.0, 1.0)")
     largest = per.agg(F.max("buckets")).first()[0] or 1
     while largest > 1:
