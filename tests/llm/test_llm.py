@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hexavane.llm import contamination, counts, extract, licences, mixing, near, packing, queries, tokens, toxicity, words
-from hexavane.llm.components import components
+from hexavane.llm.components import components, roots
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 ALNUM, SPACED = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), re.compile(r"[^\x20\x09-\x0D]+")
@@ -216,6 +216,13 @@ def test_components(spark):
     assert got == {**{i: 0 for i in [*range(31), 50]}, 100: 100, 101: 100}
 
 
+def test_roots(spark):
+    parents = [(i, i - 1) for i in range(1, 40)] + [(100, 50), (101, 50), (50, 49)]
+    got = {r["node"]: r["label"] for r in roots(spark.createDataFrame(parents, "u bigint, v bigint")).collect()}
+    assert got == {**{i: 0 for i in range(40)}, 100: 49, 101: 49, 50: 49, 49: 49}
+    assert roots(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
 # -- 4
 def plain_count(word, pieces, fallback):
     best = [(0.0, 0)]
@@ -347,7 +354,7 @@ def test_mixing(spark, docs, nothing):
             assert r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 3 and r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]])
             taken[r["source"]] += r["taken"]
         for s in ("a", "b", "c", "d", None):
-            assert taken[s] == pytest.approx(want[s], abs=20)
+            assert taken[s] == pytest.approx(want[s], abs=150)  # less than one document of up to 300 words
         assert taken["tiny"] == 3
         results.append(sorted((repr(r["doc_id"]), r["taken"]) for r in got))
     assert results[0] == results[1]
@@ -356,6 +363,26 @@ def test_mixing(spark, docs, nothing):
     assert mixing.mix(mixing.sizes(nothing)).count() == 0
 
 
+def test_settle():
+    """Words stay, one side becomes integral, and on average neither fraction changes."""
+    rng = random.Random(2)
+    for _ in range(300):
+        f, words_, rest = rng.random(), rng.choice([1, 30, 9000]), rng.choice([1, 200, 40_000])
+        draws = [mixing.settle(words_, f, rest, (i + 0.5) / 2000) for i in range(2000)]
+        for x, y in (draws[0], draws[-1]):
+            assert x * words_ + y * rest == pytest.approx(f * (words_ + rest)) and 0 <= x <= 1 and 0 <= y <= 1 and (x in (0.0, 1.0) or y in (0.0, 1.0))
+        assert sum(x for x, _ in draws) / 2000 == pytest.approx(f, abs=0.002) and sum(y for _, y in draws) / 2000 == pytest.approx(f, abs=0.002)
+
+
+def test_long_documents_are_made_up_for(spark):
+    """Two documents hold half of a source; the others take what they leave."""
+    for seed in range(3):
+        rows = [(i, "w " * (6000 if i < 2 else 20 + i % 17), "a") for i in range(500)] + [(900 + i, "w " * 40, "b") for i in range(400)]
+        got = mixing.mix(mixing.sizes(spark.createDataFrame(rows, "doc_id bigint, text string, source string")), seed=seed).collect()
+        for source in "ab":
+            assert abs(sum(r["taken"] for r in got if r["source"] == source) - next(r["target"] for r in got if r["source"] == source)) <= 60
+
+
 def test_pivot():
     """Words stay, one of the two becomes integral, and on average neither fraction changes."""
     rng = random.Random(1)
