@@ -212,7 +212,9 @@ def _documents(seg: Segment, patterns: Patterns, slack: int) -> pa.RecordBatch:
         else:
             spans.append([])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    arrays = [pa.array([seg.name] * n_docs, pa.string()), pa.array(range(n_docs), pa.int32()), pa.array(seg.doc_ids, pa.int64()), pa.array(np.diff(seg.first), pa.int64()), pa.array(spans, kind), pa.array([sorted({patterns.names[i] for i in x}) for x in items], pa.list_(pa.string()))]
+    named = pa.array([sorted({patterns.names[i] for i in x}) for x in items], pa.list_(pa.string()))
+    place = [pa.array([seg.name] * n_docs, pa.string()), pa.array(range(n_docs), pa.int32()), pa.array(seg.doc_ids, pa.int64())]
+    arrays = [*place, pa.array(np.diff(seg.first), pa.int64()), pa.array(spans, kind), named]
     return pa.record_batch(arrays, ["segment", "row", "doc_id", "n_words", "spans", "items"])
 
 
@@ -241,7 +243,12 @@ def contaminated(
     every = parts[0]
     for more in parts[1:]:
         every = every.unionByName(more)
-    merged = every.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = every.groupBy("segment", "row").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("n_words").alias("n_words"),
+        F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
     return _counted(merged.withColumn("spans", F.array_sort("spans")))
 
 

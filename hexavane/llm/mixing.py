@@ -88,17 +88,17 @@ def _buckets(fractions: DataFrame, keys: list[str], order: list) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rest, pool = None, 0, 0.0
         for batch in batches:
-            names, sizes_, totals, got, draws = (list(zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ks), strict=True)) for ks in (keys, ["size"], ["words"], ["fraction"], ["draw"]))
+            value = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in [*keys, "size", "words", "fraction", "draw"]}
             done = []
-            for key, (size,), (total,), (f,), (draw,) in zip(names, sizes_, totals, got, draws, strict=True):
+            for i, size in enumerate(value["size"]):
+                key = tuple(value[k][i] for k in keys)
                 if key != now:
-                    now, rest, pool = key, total, f
+                    now, rest, pool = key, value["words"][i], value["fraction"][i]
                 rest -= max(size, 1)
+                mine = pool
                 if 0 < pool < 1 and rest > 0:
-                    f, pool = settle(max(size, 1), pool, rest, draw)
-                else:
-                    f = pool
-                done.append(f)
+                    mine, pool = settle(max(size, 1), pool, rest, value["draw"][i])
+                done.append(mine)
             out = _set(batch, done)
             yield out.select([c for c in out.schema.names if c != "words"])
 
