@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .components import components
+from .components import components, roots
 from .runs import sorted_runs
 from .scratch import materialize
 from .words import SPACED, mix, shingle_sets, slices, words_of
@@ -119,12 +119,16 @@ def alike(both: int, one: int, two: int, percent: int) -> bool:
     return 100 * both >= percent * (one + two - both)
 
 
-def hub_links(members: DataFrame, sets: DataFrame, *, percent: int, block_shingles: int) -> DataFrame:
-    """(u, v): each node with its one hub, if the full sets are alike. A hub's set goes to as many units as its members fill,
-    and stays while they stream past."""
+def own_hubs(members: DataFrame) -> DataFrame:
+    """fp, n, hub, hub_n: each node that is not the smallest under all of its keys, with the smallest of their hubs."""
     one = members.where("fp != hub").groupBy("fp").agg(F.first("n").alias("n"), F.min(F.struct("hub", "hub_n")).alias("h"))
-    fits = 100 * F.least("n", "h.hub_n") >= percent * F.greatest("n", "h.hub_n")
-    one = materialize(one.where(fits).select("fp", "n", F.col("h.hub").alias("hub")), "pairs")
+    return one.select("fp", "n", F.col("h.hub").alias("hub"), F.col("h.hub_n").alias("hub_n"))
+
+
+def hub_links(own: DataFrame, sets: DataFrame, *, percent: int, block_shingles: int) -> DataFrame:
+    """(u, v): each node with its one hub, a smaller node, if the full sets are alike. A hub's set goes to as many units as its members fill,
+    and stays while they stream past."""
+    one = own.where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
     hubs = materialize(one.groupBy("hub").agg(F.ceil(4 * F.sum("n") / F.lit(block_shingles)).cast("int").alias("units")), "hubs")
     rows = one.join(hubs.hint("merge"), "hub").select("hub", F.pmod(F.xxhash64("fp", F.lit(11)), "units").cast("int").alias("unit"), F.lit(1).alias("role"), "fp")
     rows = rows.unionByName(hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), F.lit(0).alias("role"), F.col("hub").alias("fp")))
@@ -230,12 +234,12 @@ def exact_links(sets: list[np.ndarray], percent: int, known: list[int] | None =
     return links
 
 
-def open_groups(members: DataFrame, classes: DataFrame, block_shingles: int) -> DataFrame | None:
+def open_groups(members: DataFrame, own: DataFrame, classes: DataFrame, block_shingles: int) -> DataFrame | None:
     """(grp, fp, label, n): members of the keys that hold more than one class; None if there are none. Keys of two members that
     were compared already are left out."""
     named = members.join(classes.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
-    own = materialize(members.where("fp != hub").groupBy("fp").agg(F.min("hub").alias("met")), "met")
-    named = named.join(own.hint("merge"), "fp", "left").select("key", "fp", "n", "hub", "size", "met", F.coalesce("label", "fp").alias("label"))
+    met = own.select("fp", F.col("hub").alias("met"))
+    named = named.join(met.hint("merge"), "fp", "left").select("key", "fp", "n", "hub", "size", "met", F.coalesce("label", "fp").alias("label"))
     named = materialize(named, "named")
     open_ = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("size").alias("size"), F.max((F.col("fp") != F.col("hub")) & (F.col("met") == F.col("hub"))).alias("met"))
     open_ = materialize(open_.where("a != b AND NOT (size = 2 AND met)").select("key", "a"), "open")
@@ -247,13 +251,15 @@ def open_groups(members: DataFrame, classes: DataFrame, block_shingles: int) ->
     texts = named.groupBy("fp").agg(F.first("label").alias("label"), F.first("n").alias("n")).join(tied.hint("merge"), "label")
     texts = materialize(texts.select("grp", "fp", "label", "n"), "texts")
     large = materialize(texts.groupBy("grp").agg(F.sum("n").alias("n")).where(F.col("n") > GROUP * block_shingles).select("grp"), "large")
+    if large.isEmpty():
+        return texts
     small = texts.join(large.hint("merge"), "grp", "left_anti").select("grp", "fp", "label", "n")
     wide = tied.join(large.hint("merge"), "grp", "left_semi").select("label")
     apart = materialize(named.join(materialize(wide, "wide").hint("merge"), "label", "left_semi").select("key", "fp", "n", "label"), "apart")
     kinds = apart.groupBy("key", "label").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("a"), F.bit_xor(F.xxhash64("label")).alias("x"))
     kinds = materialize(kinds.select("key", F.xxhash64("c", "a", "x").alias("grp")), "kinds")
     rest = apart.join(kinds.hint("merge"), "key").groupBy("grp", "fp").agg(F.first("label").alias("label"), F.first("n").alias("n"))
-    return small.unionByName(rest.select("grp", "fp", "label", "n"))
+    return materialize(small.unionByName(rest.select("grp", "fp", "label", "n")), "groups")
 
 
 def class_links(groups: DataFrame, sets: DataFrame, *, percent: int, block_shingles: int) -> DataFrame:
@@ -292,11 +298,11 @@ def classes_of(docs: DataFrame, sk: DataFrame, *, width: int, percent: int, tabl
     members = materialize(shared_keys(nodes, tables), "members")
     wanted = materialize(nodes.select("fp", "rep").join(members.select("fp").distinct(), "fp", "left_semi"), "wanted")
     sets = materialize(set_table(docs, wanted, width=width, doc_id=doc_id, text=text), "sets")
-    first = materialize(components(hub_links(members, sets, percent=percent, block_shingles=block_shingles)), "classes")
-    groups = open_groups(members, first, block_shingles)
+    own = materialize(own_hubs(members), "own")
+    first = materialize(roots(hub_links(own, sets, percent=percent, block_shingles=block_shingles)), "classes")
+    groups = open_groups(members, own, first, block_shingles)
     if groups is None:
         return first.select(F.col("node").alias("fp"), "label")
-    groups = materialize(groups, "groups")
     second = materialize(components(class_links(groups, sets, percent=percent, block_shingles=block_shingles)), "classes")
     second = second.select(F.col("node").alias("label"), F.col("label").alias("whole"))
     # a class of one text has no row in the first table
