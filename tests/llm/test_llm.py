@@ -57,6 +57,19 @@ def test_words(docs):
         assert len(set(seen.values())) == len(seen)
 
 
+@pytest.mark.parametrize("chunk", [1, 64, 1000])
+def test_words_in_pieces(monkeypatch, chunk):
+    rng = random.Random(1)
+    texts = pa.array([None if rng.random() < 0.1 else "".join(rng.choice("ab C1é日 \n\t.,") for _ in range(rng.randint(0, 200))) for _ in range(300)], pa.string())
+    for kind in (words.ALNUM, words.SPACED):
+        whole = words.words_of(texts, kind)
+        with monkeypatch.context() as m:
+            m.setattr(words, "CHUNK", chunk)
+            parts, none, some = words.words_of(texts, kind), words.words_of(texts.slice(0, 0), kind), words.words_of(texts.slice(100, 50), kind)
+        assert (whole.hashes == parts.hashes).all() and (whole.first == parts.first).all()
+        assert len(none) == 0 and none.first.tolist() == [0] and (some.hashes == whole.hashes[whole.first[100] : whole.first[150]]).all()
+
+
 # -- 1
 def plain_contaminated(doc, items, window):
     w, hit, found = plain_words(ALNUM, doc), set(), set()
