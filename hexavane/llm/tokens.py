@@ -23,7 +23,7 @@ from .packing import bits_for, pack, unpack
 from .words import slices
 
 BLOCK = "shard string, block int, shard_start bigint, n_tokens bigint, first_doc bigint, last_doc bigint, first_tie bigint, doc_ids array<bigint>, starts array<int>, data binary"
-PIECE = 4 << 20
+PIECE = 2 << 20
 #: So many documents are looked up by a condition for each.
 FEW = 64
 

@@ -91,9 +91,20 @@ def _edges(raw: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarra
     return inside, np.flatnonzero(starts_here), np.flatnonzero(ends_here) + 1
 
 
+#: Bytes of text whose words are told at once, several texts or one longer one: the arrays at work are ten times as large.
+CHUNK = 1 << 19
+
+
 def words_of(texts: pa.Array, kind: np.ndarray) -> Words:
-    if not len(texts):
-        return Words(np.zeros(0, np.uint64), np.zeros(1, np.int64))
+    parts = [_words(texts.slice(a, b - a), kind) for a, b in cuts(texts, CHUNK)]
+    if len(parts) == 1:
+        return parts[0]
+    before = np.cumsum([0, *(len(p.hashes) for p in parts)])
+    first = [p.first[:-1] + n for p, n in zip(parts, before, strict=False)]
+    return Words(np.concatenate([np.zeros(0, np.uint64), *(p.hashes for p in parts)]), np.concatenate([*first, before[-1:]]).astype(np.int64))
+
+
+def _words(texts: pa.Array, kind: np.ndarray) -> Words:
     raw, at = _buffers(texts)
     inside, starts, ends = _edges(raw, at, kind)
     first = np.searchsorted(starts, at)
