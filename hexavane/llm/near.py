@@ -5,12 +5,12 @@ A table key is a pair of one left and one right key, so 2 * tables * rows minhas
 2 * rows minhashes. Two sets of similarity s share a table key with probability (1 - (1 - s ** rows) ** tables) ** 2:
 99.995 % at s = 0.8 with 20 keys of 4, and 53 %, 16 % and 2 % at 0.5, 0.4 and 0.3.
 
-Texts with equal sets are collapsed first, and table keys of the same members count once. Nothing is joined on a shared key
-alone. Each text is compared with one hub, the smallest member it shares a key with, on the full sets; what is confirmed is
-closed to classes. Of the keys, only those whose members lie in more than one class are gone through once more: members of
-different classes are compared, by a prefix filter and on the full sets. Classes that such keys connect form a group, in which
-each text is once; a group beyond ``GROUP`` blocks is taken apart again into one for each set of classes that keys have, as
-such groups may span the corpus. Work that exceeds ``block_shingles`` is cut into blocks, and pairs of blocks into units, so no
+Texts with equal sets are collapsed first. Nothing is joined on a table key: of each key the smallest member is its hub, and
+keys of one hub count as one, with the members of all of them, as near copies share a hundred keys and few hubs. Each text is
+compared with one hub, the smallest it has, on the full sets; what is confirmed is closed to classes. Of the hubs, only those
+whose members lie in more than one class are gone through once more: members of different classes are compared, by a prefix
+filter and on the full sets. Classes that such hubs connect form a group, in which each text is once; a group beyond ``GROUP``
+blocks is taken apart again into one for each set of classes that hubs have, as such groups may span the corpus. Work that exceeds ``block_shingles`` is cut into blocks, and pairs of blocks into units, so no
 task holds an unbounded group and no link is lost. Tables that are joined by a key that many rows may have are written before,
 so that Spark can split that key.
 """
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -78,12 +78,13 @@ def sketches(docs: DataFrame, *, width: int = 5, tables: int = 20, rows: int = 4
     return narrow.mapInArrow(run, "doc_id bigint, place bigint, n_shingles bigint, fp bigint, keys array<bigint>")
 
 
-def shared_keys(nodes: DataFrame, tables: int) -> DataFrame:
-    """key, fp, n, hub, hub_n, size: the members of each table key that two nodes or more have, its smallest member as hub, and
-    how many they are. Of keys with the same members one is kept.
+def hub_members(nodes: DataFrame, tables: int) -> DataFrame:
+    """hub, fp, n, hub_n, size: each node with the smallest members, itself included, of the table keys that it shares, and how
+    many nodes the largest of these keys has. Two nodes that share a key have its hub in common.
 
     A pair shares a table key exactly if it shares a left and a right key, so keys that only one node has are dropped
-    before pairs are formed: almost all nodes end here.
+    before pairs are formed: almost all nodes end here. The rest is dealt out by table key once; a key's rows meet in one
+    task, three numbers each, which spills.
     """
     keys = nodes.select("fp", "n_shingles", F.posexplode("keys").alias("side", "key"))
     shared = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
@@ -95,11 +96,9 @@ def shared_keys(nodes: DataFrame, tables: int) -> DataFrame:
     kept = materialize(kept.where((F.size("left") > 0) & (F.size("right") > 0)), "kept")
     pairs = F.flatten(F.transform("left", lambda a: F.transform("right", lambda b: F.xxhash64(a, b))))
     table_keys = kept.select("fp", "n", F.explode(pairs).alias("key"))
-    first = F.min(F.struct("fp", "n")).alias("first")
-    buckets = table_keys.groupBy("key").agg(first, F.count("*").alias("size"), F.bit_xor(F.xxhash64("fp")).alias("mark")).where("size > 1")
-    buckets = buckets.groupBy(F.col("first.fp").alias("hub"), "size", "mark").agg(F.min("key").alias("key"), F.first("first.n").alias("hub_n"))
-    buckets = materialize(buckets.select("key", "hub", "hub_n", "size"), "buckets")
-    return table_keys.join(buckets.hint("merge"), "key").select("key", "fp", "n", "hub", "hub_n", "size")
+    every = Window.partitionBy("key")
+    known = table_keys.select("fp", "n", F.min(F.struct("fp", "n")).over(every).alias("first"), F.count("*").over(every).alias("size")).where("size > 1")
+    return known.groupBy(F.col("first.fp").alias("hub"), "fp").agg(F.first("n").alias("n"), F.first("first.n").alias("hub_n"), F.max("size").alias("size"))
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, *, width: int, doc_id: str, text: str) -> DataFrame:
@@ -120,7 +119,7 @@ def alike(both: int, one: int, two: int, percent: int) -> bool:
 
 
 def own_hubs(members: DataFrame) -> DataFrame:
-    """fp, n, hub, hub_n: each node that is not the smallest under all of its keys, with the smallest of their hubs."""
+    """fp, n, hub, hub_n: each node that is not the smallest under all of its keys, with the smallest of its hubs."""
     one = members.where("fp != hub").groupBy("fp").agg(F.first("n").alias("n"), F.min(F.struct("hub", "hub_n")).alias("h"))
     return one.select("fp", "n", F.col("h.hub").alias("hub"), F.col("h.hub_n").alias("hub_n"))
 
@@ -235,17 +234,17 @@ def exact_links(sets: list[np.ndarray], percent: int, known: list[int] | None =
 
 
 def open_groups(members: DataFrame, own: DataFrame, classes: DataFrame, block_shingles: int) -> DataFrame | None:
-    """(grp, fp, label, n): members of the keys that hold more than one class; None if there are none. Keys of two members that
-    were compared already are left out."""
+    """(grp, fp, label, n): members of the hubs that hold more than one class; None if there are none. A member that was compared
+    with its hub already, and is under no key of theirs with a third, is left out there."""
     named = members.join(classes.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
     met = own.select("fp", F.col("hub").alias("met"))
-    named = named.join(met.hint("merge"), "fp", "left").select("key", "fp", "n", "hub", "size", "met", F.coalesce("label", "fp").alias("label"))
-    named = materialize(named, "named")
-    open_ = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("size").alias("size"), F.max((F.col("fp") != F.col("hub")) & (F.col("met") == F.col("hub"))).alias("met"))
-    open_ = materialize(open_.where("a != b AND NOT (size = 2 AND met)").select("key", "a"), "open")
+    named = named.join(met.hint("merge"), "fp", "left").where("fp = hub OR met != hub OR size > 2")
+    named = materialize(named.select("hub", "fp", "n", F.coalesce("label", "fp").alias("label")), "named")
+    open_ = named.groupBy("hub").agg(F.min("label").alias("a"), F.max("label").alias("b"))
+    open_ = materialize(open_.where("a != b").select("hub", "a"), "open")
     if open_.isEmpty():
         return None
-    named = materialize(named.join(open_.hint("merge"), "key").select("key", "fp", "n", "label", "a"), "unsettled")
+    named = materialize(named.join(open_.hint("merge"), "hub").select("hub", "fp", "n", "label", "a"), "unsettled")
     tied = components(named.select(F.col("label").alias("u"), F.col("a").alias("v")))
     tied = materialize(tied.select(F.col("node").alias("label"), F.col("label").alias("grp")), "tied")
     texts = named.groupBy("fp").agg(F.first("label").alias("label"), F.first("n").alias("n")).join(tied.hint("merge"), "label")
@@ -255,10 +254,10 @@ def open_groups(members: DataFrame, own: DataFrame, classes: DataFrame, block_sh
         return texts
     small = texts.join(large.hint("merge"), "grp", "left_anti").select("grp", "fp", "label", "n")
     wide = tied.join(large.hint("merge"), "grp", "left_semi").select("label")
-    apart = materialize(named.join(materialize(wide, "wide").hint("merge"), "label", "left_semi").select("key", "fp", "n", "label"), "apart")
-    kinds = apart.groupBy("key", "label").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("a"), F.bit_xor(F.xxhash64("label")).alias("x"))
-    kinds = materialize(kinds.select("key", F.xxhash64("c", "a", "x").alias("grp")), "kinds")
-    rest = apart.join(kinds.hint("merge"), "key").groupBy("grp", "fp").agg(F.first("label").alias("label"), F.first("n").alias("n"))
+    apart = materialize(named.join(materialize(wide, "wide").hint("merge"), "label", "left_semi").select("hub", "fp", "n", "label"), "apart")
+    kinds = apart.groupBy("hub", "label").agg(F.lit(1).alias("one")).groupBy("hub").agg(F.count("*").alias("c"), F.min("label").alias("a"), F.bit_xor(F.xxhash64("label")).alias("x"))
+    kinds = materialize(kinds.select("hub", F.xxhash64("c", "a", "x").alias("grp")), "kinds")
+    rest = apart.join(kinds.hint("merge"), "hub").groupBy("grp", "fp").agg(F.first("label").alias("label"), F.first("n").alias("n"))
     return materialize(small.unionByName(rest.select("grp", "fp", "label", "n")), "groups")
 
 
@@ -295,7 +294,7 @@ def class_links(groups: DataFrame, sets: DataFrame, *, percent: int, block_shing
 def classes_of(docs: DataFrame, sk: DataFrame, *, width: int, percent: int, tables: int, block_shingles: int, doc_id: str, text: str) -> DataFrame:
     """(fp, label): the class of each set that is linked with another one."""
     nodes = materialize(sk.where("doc_id IS NOT NULL AND fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")), "nodes")
-    members = materialize(shared_keys(nodes, tables), "members")
+    members = materialize(hub_members(nodes, tables), "members")
     wanted = materialize(nodes.select("fp", "rep").join(members.select("fp").distinct(), "fp", "left_semi"), "wanted")
     sets = materialize(set_table(docs, wanted, width=width, doc_id=doc_id, text=text), "sets")
     own = materialize(own_hubs(members), "own")

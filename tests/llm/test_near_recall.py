@@ -75,3 +75,36 @@ def test_chain_of_copies(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(df, width=4, tables=40).collect()}
     assert got == {i: 0 for i in range(30)}
+
+
+def test_rows_of_a_large_group(spark, monkeypatch):
+    """Near copies of one text, each with three words of its own: no table on the way has a row for each key that they share."""
+    rng = random.Random(7)
+    base, n = text_of(rng, 120), 300
+    rows = [(i, " ".join(f"own{rng.randrange(10**9)}" if k in at else w for k, w in enumerate(base))) for i in range(n) for at in [set(rng.sample(range(120), 3))]]
+    df, tables = spark.createDataFrame(rows, "doc_id bigint, text string"), {}
+
+    def counted(out, name, write=near.materialize):
+        out = write(out, name)
+        tables[name] = max(out.count(), tables.get(name, 0))
+        return out
+
+    monkeypatch.setattr(near, "materialize", counted)
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(df, width=4).collect()}
+    assert got == {i: c for i, (_, c, _) in plain_near(rows, 4, 80).items()}
+    assert max(tables.values()) <= 30 * n, tables
+
+
+def test_keys_lead_to_a_hub_in_common(spark):
+    """Of every two nodes that share a left and a right key, both are members of one hub at least."""
+    rng = random.Random(8)
+    base = text_of(rng, 80)
+    rows = [(i, " ".join(f"own{rng.randrange(10**9)}" if rng.random() < 0.05 else w for w in base)) for i in range(80)]
+    sk = near.sketches(spark.createDataFrame(rows, "doc_id bigint, text string"), width=4).collect()
+    keys = {r["fp"]: (set(r["keys"][:20]), set(r["keys"][20:])) for r in sk}
+    nodes = spark.createDataFrame([(r["fp"], r["n_shingles"], r["keys"]) for r in sk], "fp bigint, n_shingles bigint, keys array<bigint>")
+    members = near.hub_members(nodes, 20).collect()
+    hubs = {f: {r["hub"] for r in members if r["fp"] == f} for f in keys}
+    pairs = [(f, g) for f in keys for g in keys if f < g and keys[f][0] & keys[g][0] and keys[f][1] & keys[g][1]]
+    assert len(pairs) > 500 and all(hubs[f] & hubs[g] for f, g in pairs)
+    assert all(r["hub"] <= r["fp"] and r["size"] > 1 for r in members)
